@@ -30,6 +30,14 @@ def header_map(headers: Column | str) -> Column:
     built, so the result does not depend on the session's map-key policy.
     """
     h = F.coalesce(_col(headers), F.expr("cast(array() as array<struct<key:string,value:binary>>)"))
+    names, texts = h["key"], h["value"].cast("array<string>")
+    # The common case, in generated code: every name once, every value present and UTF-8. An ASCII separator keeps
+    # broken bytes of two values from forming a character.
+    plain = (
+        (F.size(F.array_compact(F.array_distinct(names))) == F.size(names))
+        & (F.size(F.array_compact(texts)) == F.size(names))
+        & F.is_valid_utf8(F.array_join(texts, ","))
+    )
 
     def is_last(x: Column, i: Column) -> Column:
         later = F.slice(h, i + 2, F.size(h))
@@ -38,7 +46,8 @@ def header_map(headers: Column | str) -> Column:
     def entry(x: Column) -> Column:
         return F.struct(x["key"].alias("key"), bytes_text(F.coalesce(x["value"], F.lit(b""))).alias("value"))
 
-    return F.map_from_entries(F.transform(F.filter(h, is_last), entry))
+    general = F.map_from_entries(F.transform(F.filter(h, is_last), entry))
+    return F.when(plain, F.map_from_arrays(names, texts)).otherwise(general)
 
 
 def header_array(headers: Column | str) -> Column:

@@ -142,7 +142,7 @@ def to_records(
     """
     df = decode(raw, proto, wire, extra) if payload else _undecoded(raw)
     headers = F.col("header_text")
-    marked = F.exists(F.map_keys(headers), lambda k: k.isin(*DLQ_MARKER_HEADERS))
+    marked = F.arrays_overlap(F.map_keys(headers), F.array(*[F.lit(n) for n in DLQ_MARKER_HEADERS]))
     return df.select(
         "topic",
         "partition",

@@ -10,7 +10,7 @@ from topicwise.functions.payload import is_object, same_value, strict_json
 from topicwise.functions.text import dotted
 from topicwise.session import prepare
 
-PAIR = "_pair"
+CHANGES = "array<struct<path:string,diff_type:string,old_value:string,new_value:string>>"
 
 
 def _as_variant(df: DataFrame, name: str) -> Column:
@@ -22,53 +22,65 @@ def _as_variant(df: DataFrame, name: str) -> Column:
 
 
 def _compare(pairs: DataFrame, pair_id: str, max_depth: int) -> DataFrame:
-    """Rows ``(pair, path, diff_type, x, y)`` plus one row of type ``_pair`` for every input pair.
+    """Each pair with ``changes``: its differences as an array of ``(path, diff_type, old_value, new_value)``.
 
-    Both payloads sit in one row, so nothing is joined or shuffled: each level replaces an object pair by the pairs of
-    their members in one generator, and finished rows pass through. The source is read once.
+    Both payloads sit in one row, so nothing is joined or shuffled, and the source is read once.
     """
     prepare(pairs.sparkSession)
     x, y = F.col("x"), F.col("y")
-    sides = pairs.select(F.col(pair_id).alias("pair_id"), _as_variant(pairs, "a").alias("x"), _as_variant(pairs, "b").alias("y"))
-    root_type = (
-        F.when(F.to_json(x) == F.to_json(y), "same")
-        .when(is_object(x) & is_object(y), "open")
-        .when(same_value(x, y), "same")
-        .otherwise("modified")
+    sides = pairs.select(
+        F.col(pair_id).alias(pair_id), _as_variant(pairs, "a").alias("x"), _as_variant(pairs, "b").alias("y")
     )
-    root_path = F.when(F.col("diff_type") == "modified", "value").otherwise("")
-    rows = sides.withColumn("diff_type", root_type).withColumn("path", root_path)
-    nothing = F.lit(None).cast("variant")
-    marker = F.struct(F.lit("").alias("path"), F.lit(PAIR).alias("diff_type"), nothing.alias("x"), nothing.alias("y"))
-    itself = F.struct("path", "diff_type", "x", "y")
-    rows = rows.select("pair_id", F.inline(F.array(marker, itself))).filter("diff_type <> 'same'")
-
-    for _ in range(max_depth):
-        path = F.col("path")
-        xs, ys = x.try_cast("map<string,variant>"), y.try_cast("map<string,variant>")
-
-        def member(k: Column) -> Column:
-            kind = F.when(~F.map_contains_key(ys, k), "removed").when(~F.map_contains_key(xs, k), "added").otherwise("both")
-            return F.struct(dotted(path, k).alias("path"), kind.alias("diff_type"), xs[k].alias("x"), ys[k].alias("y"))
-
-        members = F.transform(F.array_union(F.map_keys(xs), F.map_keys(ys)), member)
-        rows = rows.select(
-            "pair_id", F.inline(F.when(F.col("diff_type") == "open", members).otherwise(F.array(itself)))
-        )
-        kind = (
-            F.when(F.col("diff_type") != "both", F.col("diff_type"))
-            .when(F.to_json(x) == F.to_json(y), "same")
-            .when(is_object(x) & is_object(y), "open")
-            .when(same_value(x, y), "same")
-            .otherwise("modified")
-        )
-        rows = rows.withColumn("diff_type", kind).filter("diff_type <> 'same'")
-    deep = F.raise_error(F.lit(f"payload nested deeper than max_depth={max_depth}"))
-    return rows.withColumn(
-        "diff_type",
-        F.when(F.col("diff_type") == "open", deep).otherwise(F.col("diff_type")),
+    whole = F.array(_change(F.lit("value"), "modified", x, y))
+    changes = (
+        F.when(F.to_json(x) == F.to_json(y), _no_change())
+        .when(is_object(x) & is_object(y), _changes_inside(x, y, F.lit(""), max_depth))
+        .when(same_value(x, y), _no_change())
+        .otherwise(whole)
+    )
+    return sides.select(pair_id, changes.alias("changes"))
+
+
+def _no_change() -> Column:
+    return F.expr(f"cast(array() as {CHANGES})")
+
+
+def _change(path: Column, kind: str, x: Column | None, y: Column | None) -> Column:
+    missing = F.lit(None).cast("string")
+    return F.struct(
+        path.alias("path"),
+        F.lit(kind).alias("diff_type"),
+        (missing if x is None else F.to_json(x)).alias("old_value"),
+        (missing if y is None else F.to_json(y)).alias("new_value"),
+    )
+
+
+def _changes_inside(x: Column, y: Column, prefix: Column, levels: int) -> Column:
+    """Differences between the members of two objects."""
+    xs, ys = x.try_cast("map<string,variant>"), y.try_cast("map<string,variant>")
+    in_either = F.array_union(F.map_keys(xs), F.map_keys(ys))
+    members = F.transform(
+        in_either, lambda k: F.struct(dotted(prefix, k).alias("path"), xs[k].alias("x"), ys[k].alias("y"))
     )
 
+    def compare(m: Column) -> Column:
+        old, new, path = m["x"], m["y"], m["path"]
+        if levels > 1:
+            below = _changes_inside(old, new, path, levels - 1)
+        else:
+            below = F.raise_error(F.lit("payloads differ deeper than max_depth")).cast(CHANGES)
+        # A JSON null is a value here; only a missing key gives NULL.
+        return (
+            F.when(new.isNull(), F.array(_change(path, "removed", old, None)))
+            .when(old.isNull(), F.array(_change(path, "added", None, new)))
+            .when(F.to_json(old) == F.to_json(new), _no_change())
+            .when(is_object(old) & is_object(new), below)
+            .when(same_value(old, new), _no_change())
+            .otherwise(F.array(_change(path, "modified", old, new)))
+        )
+
+    return F.flatten(F.transform(members, compare))
+
 
 def diff_payloads(pairs: DataFrame, pair_id: str = "pair_id", max_depth: int = 8) -> DataFrame:
     """Differences of ``(pair_id, a, b)``: path, removed / added / modified, old and new value as JSON text.
@@ -77,34 +89,22 @@ def diff_payloads(pairs: DataFrame, pair_id: str = "pair_id", max_depth: int = 8
     added or removed subtree is one row. If a root is not an object the pair is one value at path ``value``.
     Objects that differ below ``max_depth`` fail the job instead of losing rows; raise it for deeper payloads.
     """
-    rows = _compare(pairs, pair_id, max_depth).filter(F.col("diff_type") != PAIR)
-    return rows.select(
-        F.col("pair_id").alias(pair_id),
-        "path",
-        "diff_type",
-        F.when(F.col("diff_type") != "added", F.to_json("x")).alias("old_value"),
-        F.when(F.col("diff_type") != "removed", F.to_json("y")).alias("new_value"),
-    )
+    rows = _compare(pairs, pair_id, max_depth).select(pair_id, F.inline_outer("changes"))
+    # An inner generator would make Catalyst test the array for being empty first, and so compare everything twice.
+    return rows.filter(F.col("diff_type").isNotNull())
 
 
 def diff_summary(pairs: DataFrame, pair_id: str = "pair_id", max_depth: int = 8) -> DataFrame:
-    """Counts per pair, identical pairs included. All rows of a pair start in one task, so little is shuffled."""
-    rows = _compare(pairs, pair_id, max_depth)
-
+    """Counts per pair, identical pairs included. Counted inside the row: no shuffle."""
     def count_of(kind: str) -> Column:
-        return F.count_if(F.col("diff_type") == kind)
+        return F.size(F.filter("changes", lambda c: c["diff_type"] == kind)).cast("bigint")
 
-    counted = rows.groupBy("pair_id").agg(
+    return _compare(pairs, pair_id, max_depth).select(
+        pair_id,
         count_of("added").alias("added_count"),
         count_of("removed").alias("removed_count"),
         count_of("modified").alias("modified_count"),
-    )
-    return counted.select(
-        F.col("pair_id").alias(pair_id),
-        "added_count",
-        "removed_count",
-        "modified_count",
-        (F.col("added_count") + F.col("removed_count") + F.col("modified_count") == 0).alias("identical"),
+        (F.size("changes") == 0).alias("identical"),
     )
 
 

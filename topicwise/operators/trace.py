@@ -108,7 +108,7 @@ def match_many(records: DataFrame, ids: DataFrame) -> DataFrame:
 
     texts = F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
     offered = records.withColumn("_lengths", lengths).withColumn("_texts", texts)
-    offered = offered.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.transform("_texts", grams)))))
+    offered = offered.withColumn("_gram", F.explode_outer(F.array_distinct(F.flatten(F.transform("_texts", grams)))))
     return offered.join(wanted, "_gram").drop("_gram", "_texts", "_lengths")
 
 
@@ -119,7 +119,7 @@ def trace_many(
     if exact:
         wanted = ids.select("correlation_id", F.lower("correlation_id").alias("_text")).distinct()
         texts = F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
-        paired = records.withColumn("_text", F.explode(texts)).join(wanted, "_text").drop("_text")
+        paired = records.withColumn("_text", F.explode_outer(texts)).join(wanted, "_text").drop("_text")
     else:
         paired = match_many(records, ids)
     return _with_latency(_as_hops(paired, F.col("correlation_id")), bucket_ms)

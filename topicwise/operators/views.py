@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.functions.payload import is_array, is_object, payload_text
+from topicwise.functions.payload import kind_of, payload_text
 from topicwise.functions.text import dotted, ellipsis, non_empty
 from topicwise.session import prepare
 
@@ -99,40 +99,42 @@ def hop_view(hops: DataFrame) -> DataFrame:
 def flatten_payload(df: DataFrame, max_depth: int = 8, *, keep: tuple[str, ...] = ("topic", "partition", "offset")) -> DataFrame:
     """Every node below the payload root: ``path``, ``node_type`` (object, array, leaf) and the leaf's text.
 
-    Each level replaces an open container by itself and its children in one generator, so the source is read once
-    and nothing is shuffled. A payload nested deeper than ``max_depth`` fails the job instead of losing nodes.
+    One expression walks the payload, so the source is read once and nothing is shuffled. A payload nested deeper than
+    ``max_depth`` fails the job instead of losing nodes.
     """
     prepare(df.sparkSession)
-    rows = df.filter(F.col("payload").isNotNull()).select(
-        *keep, F.lit("").alias("path"), F.col("payload").alias("v"), F.lit(True).alias("open")
+    found = df.filter(F.col("payload").isNotNull())
+    # An inner generator would make Catalyst test the array for being empty first, and so walk everything twice.
+    nodes = found.select(*keep, F.inline_outer(_nodes_below(F.col("payload"), F.lit(""), 1, max_depth)))
+    nodes = nodes.filter(F.col("level").isNotNull()).withColumn("_kind", kind_of("v"))
+    kind = (
+        F.when(F.startswith("_kind", F.lit("OBJECT<")), "object")
+        .when(F.startswith("_kind", F.lit("ARRAY<")), "array")
+        .otherwise("leaf")
     )
-    for level in range(max_depth + 1):
-        path, v = F.col("path"), F.col("v")
-        members = F.transform(
-            F.map_entries(v.try_cast("map<string,variant>")),
-            lambda e: F.struct(dotted(path, e["key"]).alias("path"), e["value"].alias("v"), F.lit(True).alias("open")),
-        )
-        items = F.transform(
-            v.try_cast("array<variant>"),
-            lambda x, i: F.struct(
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-                x.alias("v"),
-                F.lit(True).alias("open"),
-            ),
-        )
-        itself = F.array(F.struct("path", "v", F.lit(False).alias("open")))
-        if level == 0:
-            nodes = F.coalesce(members, items, itself)
-        else:
-            nodes = F.when(~F.col("open"), itself).otherwise(F.concat(itself, F.coalesce(members, items)))
-        rows = rows.select(*keep, F.inline(nodes)).withColumn(
-            "open", F.col("open") & (is_object("v") | is_array("v"))
-        )
-    kind = F.when(is_object("v"), "object").when(is_array("v"), "array").otherwise("leaf")
+    too_deep = (F.col("level") == max_depth) & (kind != "leaf") & ~F.to_json("v").isin("{}", "[]")
     deep = F.raise_error(F.lit(f"payload nested deeper than max_depth={max_depth}"))
-    return rows.select(
+    return nodes.select(
         *keep,
-        F.when(F.col("open"), deep).otherwise(F.col("path")).alias("path"),
+        F.when(too_deep, deep).otherwise(F.col("path")).alias("path"),
         kind.alias("node_type"),
         F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("leaf_text"),
     )
+
+
+def _nodes_below(v: Column, path: Column, level: int, max_depth: int) -> Column:
+    def node(at: Column, value: Column) -> Column:
+        return F.struct(at.alias("path"), value.alias("v"), F.lit(level).alias("level"))
+
+    members = F.transform(
+        F.map_entries(v.try_cast("map<string,variant>")), lambda e: node(dotted(path, e["key"]), e["value"])
+    )
+    items = F.transform(
+        v.try_cast("array<variant>"), lambda x, i: node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x)
+    )
+    children = F.coalesce(members, items, F.expr("cast(array() as array<struct<path:string,v:variant,level:int>>)"))
+    if level == max_depth:
+        return children
+    return F.flatten(
+        F.transform(children, lambda c: F.concat(F.array(c), _nodes_below(c["v"], c["path"], level + 1, max_depth)))
+    )

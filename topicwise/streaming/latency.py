@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -18,46 +17,37 @@ HOPS = (
     "correlation_id string, step bigint, topic string, partition int, offset bigint, timestamp_ms bigint, "
     "status string, latency_ms double"
 )
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COLUMNS = ["correlation_id", "step", "topic", "partition", "offset", "timestamp_ms", "status", "latency_ms"]
 
 
-class HopClock(StatefulProcessor):
-    """Remembers the last time and the number of hops of a trace; forgets it after a quiet period."""
-
-    def __init__(self, ttl_ms: int | None) -> None:
-        self.ttl_ms = ttl_ms
+def live_hops(records: DataFrame, correlation_id: Column, ttl_ms: int | None = None) -> DataFrame:
+    """Hops with latency as they arrive. Within a micro-batch hops are put in time order; a late one has latency 0.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("ts", LongType()), StructField("step", LongType())])
-        self.last = handle.getValueState("last", schema, self.ttl_ms)
+    A task holds the hops of one trace in one micro-batch, so bound the batch (``maxOffsetsPerTrigger``). ``ttl_ms`` forgets
+    traces quiet for that long; it needs a query that keeps running, as an ``availableNow`` one would never end.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, step = self.last.get() if self.last.exists() else (None, 0)
-        hops = pd.concat(list(rows), ignore_index=True)
-        hops = hops.assign(order=hops["timestamp_ms"].fillna(0)).sort_values(["order", "offset", "topic", "partition"])
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, step = state.get if state.exists else (None, 0)
+        hops = pd.concat(list(batches), ignore_index=True)
+        hops["_order"] = hops["timestamp_ms"].fillna(0)
+        hops = hops.sort_values(["_order", "offset", "topic", "partition"], ignore_index=True)
         times = hops["timestamp_ms"].astype("Int64")
         before = times.shift(1)
-        if ts is not None:
-            before.iloc[0] = ts
-        hops["latency_ms"] = (times - before).clip(lower=0).astype("Float64")
+        before.iloc[0] = pd.NA if last is None else last
         hops["timestamp_ms"] = times
+        hops["latency_ms"] = (times - before).clip(lower=0).astype("Float64")
         hops["step"] = range(step + 1, step + 1 + len(hops))
         hops["correlation_id"] = key[0]
-        end = times.iloc[-1]
-        self.last.update((None if pd.isna(end) else int(end), step + len(hops)))
-        names = ["correlation_id", "step", "topic", "partition", "offset", "timestamp_ms", "status", "latency_ms"]
-        yield hops[names]
+        newest = times.iloc[-1]
+        state.update((None if pd.isna(newest) else int(newest), step + len(hops)))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield hops[COLUMNS]
 
-    def close(self) -> None:
-        pass
-
-
-def live_hops(records: DataFrame, correlation_id: Column, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Hops with latency as they arrive. Within a micro-batch hops are put in time order; a late one has latency 0.
-
-    A task holds the hops of one trace in one micro-batch, so bound the batch (``maxOffsetsPerTrigger``).
-    """
-    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     hops = records.select(
         correlation_id.alias("correlation_id"),
         "topic",
@@ -66,9 +56,7 @@ def live_hops(records: DataFrame, correlation_id: Column, ttl_ms: int | None = 3
         "timestamp_ms",
         F.when(F.col("is_dlq"), "DLQ_POISON").otherwise("OK").alias("status"),
     ).filter("correlation_id <> ''")
-    return hops.groupBy("correlation_id").transformWithStateInPandas(
-        statefulProcessor=HopClock(ttl_ms),
-        outputStructType=HOPS,
-        outputMode="Append",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return hops.groupBy("correlation_id").applyInPandasWithState(
+        advance, HOPS, "last_ms bigint, step bigint", "append", timeout
     )
