@@ -3,7 +3,8 @@
 One correlation id may own a third of the log, and a session is a single sequence. A window over such a group
 would run in one task. Here a group is cut into time buckets: a window runs inside each bucket, one summary row per
 bucket carries its last row and its size, and a window over these few summary rows links each bucket to the one
-before. The result equals that of the plain window.
+before. The result equals that of the plain window. The source is read twice, the second time for the keys, the time and the
+offset only.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ def with_buckets(df: DataFrame, ts: str, bucket_ms: int) -> DataFrame:
     time_bucket = F.floor(t / bucket_ms).cast("bigint")
     return df.withColumns(
         {
-            "_bucket": F.when(t > 0, time_bucket + 1).when(t < 0, time_bucket).otherwise(0).cast("bigint"),
-            "_sub_bucket": F.when(t == 0, F.floor(F.col("offset") / BUCKET_OFFSETS)).otherwise(0).cast("bigint"),
+            # Never NULL, and stated so: a join on them needs no NULL test that would be computed at the source.
+            "_bucket": F.coalesce(F.when(t > 0, time_bucket + 1).when(t < 0, time_bucket), F.lit(0).cast("bigint")),
+            "_sub_bucket": F.coalesce(
+                F.when(t == 0, F.floor(F.col("offset") / BUCKET_OFFSETS).cast("bigint")), F.lit(0).cast("bigint")
+            ),
         }
     )
 
@@ -57,13 +61,16 @@ def follow(
         ).select(*columns, prev, step)
 
     by_bucket = [*keys, *BUCKET]
-    # Both branches below read this one exchange: the summary refers to every column, so its copy is identical.
-    rows = with_buckets(df, ts, bucket_ms).repartition(*by_bucket)
     w = Window.partitionBy(*by_bucket).orderBy(*ORDER)
-    inside = rows.withColumns({"_prev_inside": F.lag(ts).over(w), "_nth": F.row_number().over(w)})
-
-    last = F.max_by(F.struct(*rows.columns), F.struct(*ORDER))
-    summary = rows.groupBy(*by_bucket).agg(last.getField(ts).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    inside = with_buckets(df, ts, bucket_ms).withColumns({"_prev_inside": F.lag(ts).over(w), "_nth": F.row_number().over(w)})
+
+    # Numbers only, so rows collapse in hash aggregation before they are shuffled. In a bucket of times the last one is
+    # the largest; in one of missing times and zeros it is known if the row with the largest offset has it.
+    known_to = F.max(F.when(F.col(ts).isNotNull(), F.col("offset")))
+    unknown_to = F.max(F.when(F.col(ts).isNull(), F.col("offset")))
+    last = F.when(unknown_to.isNull() | (known_to > unknown_to), F.max("_ts"))
+    narrow = with_buckets(df.select(*keys, ts, "offset"), ts, bucket_ms)
+    summary = narrow.groupBy(*by_bucket).agg(last.alias("_last"), F.count(F.lit(1)).alias("_n"))
     ordered = Window.partitionBy(*keys).orderBy(*BUCKET)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     links = summary.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.functions.payload import is_object, json_text, payload_text
+from topicwise.functions.payload import json_text, payload_text
 from topicwise.functions.text import non_empty
 from topicwise.operators.sequence import BUCKET_MS, follow
 
@@ -33,7 +33,7 @@ def searched_texts() -> list[Column]:
     return [
         F.col("key"),
         *[F.col("headers")[name] for name in CORRELATION_HEADERS],
-        *[F.when(is_object("payload"), json_text("payload", f"$.{name}")) for name in CORRELATION_FIELDS],
+        *[json_text("payload", f"$.{name}") for name in CORRELATION_FIELDS],
     ]
 
 
@@ -54,7 +54,7 @@ def _as_hops(records: DataFrame, correlation_id: Column) -> DataFrame:
         "offset",
         "timestamp_ms",
         "key",
-        F.when(is_object("payload"), json_text("payload", "$.event_type")).alias("event_type"),
+        json_text("payload", "$.event_type").alias("event_type"),
         "is_dlq",
         F.when(F.col("is_dlq"), "DLQ_POISON").otherwise("OK").alias("status"),
         "error_message",
@@ -85,43 +85,56 @@ def trace_all(records: DataFrame, id_expr: Column | str, bucket_ms: int | None =
     return _with_latency(hops, bucket_ms)
 
 
-def match_many(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records paired with every id of ``ids(correlation_id)`` they contain.
+# Largest id table, in ids and in characters, that is sent whole to every task.
+BROADCAST_IDS = 200_000
+BROADCAST_CHARS = 8_000_000
 
-    A substring search as an equi-join: each record offers the substrings of its texts that have the length of some
-    id, and those are joined with the ids. The set of lengths is small; no record is compared with every id.
-    """
-    wanted = (
-        ids.select("correlation_id", F.lower("correlation_id").alias("_gram"))
-        .filter(F.col("_gram") != "")
-        .distinct()
-    )
-    lengths = wanted.agg(F.collect_set(F.length("_gram")).alias("lengths")).scalar()
 
-    def grams(text: Column) -> Column:
-        """All substrings of the text with a wanted length; none for a NULL or shorter text."""
-        def of_length(n: Column) -> Column:
-            starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-            return F.transform(F.coalesce(starts, F.expr("cast(array() as array<int>)")), lambda i: F.substring(text, i, n))
+def pair_with_ids(records: DataFrame, ids: DataFrame, exact: bool = False) -> DataFrame:
+    """Records paired with every id of ``ids(correlation_id)`` that one of their texts contains, or equals if ``exact``.
+
+    A substring search as an equi-join: each record offers the substrings of its texts that have the length of some
+    id, and those are joined with the ids. No record is compared with every id.
 
-        return F.flatten(F.transform(F.col("_lengths"), of_length))
+    One small job first measures the ids. Up to the limits above they are broadcast. Beyond, only coordinates and
+    substrings are shuffled, and the records are joined to the pairs found.
+    """
+    wanted = ids.select("correlation_id", F.lower("correlation_id").alias("_text")).filter("_text <> ''").distinct()
+    size = wanted.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("chars"),
+        F.collect_set(F.length("_text")).alias("lengths"),
+    ).first()
 
     texts = F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
-    offered = records.withColumn("_lengths", lengths).withColumn("_texts", texts)
-    offered = offered.withColumn("_gram", F.explode_outer(F.array_distinct(F.flatten(F.transform("_texts", grams)))))
-    return offered.join(wanted, "_gram").drop("_gram", "_texts", "_lengths")
+    offered = texts if exact else F.array_distinct(F.flatten(F.transform(texts, lambda t: _substrings(t, size.lengths))))
+    if size.n <= BROADCAST_IDS and size.chars <= BROADCAST_CHARS:
+        return records.withColumn("_text", F.explode_outer(offered)).join(F.broadcast(wanted), "_text").drop("_text")
+    place = ["topic", "partition", "offset"]
+    pairs = records.select(*place, F.explode_outer(offered).alias("_text")).join(wanted, "_text").drop("_text")
+    return records.join(pairs, place)
+
+
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """All substrings of the text with one of the lengths."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.concat(
+        none,
+        *[
+            F.when(
+                F.length(text) >= n,
+                F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))),
+            ).otherwise(none)
+            for n in sorted(lengths)
+        ],
+    )
 
 
 def trace_many(
     records: DataFrame, ids: DataFrame, exact: bool = False, bucket_ms: int | None = BUCKET_MS
 ) -> DataFrame:
     """Hops for every id of a table. ``exact=True`` requires a whole text to equal the id instead of containing it."""
-    if exact:
-        wanted = ids.select("correlation_id", F.lower("correlation_id").alias("_text")).distinct()
-        texts = F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
-        paired = records.withColumn("_text", F.explode_outer(texts)).join(wanted, "_text").drop("_text")
-    else:
-        paired = match_many(records, ids)
+    paired = pair_with_ids(records, ids, exact)
     return _with_latency(_as_hops(paired, F.col("correlation_id")), bucket_ms)
 
 

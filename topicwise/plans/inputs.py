@@ -71,19 +71,19 @@ def raw(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
     return raw_log(events(spark, sf_dir), mixed)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, payload: bool = True) -> DataFrame:
     """Decoded records. This log has no Protobuf, so decoding stays in the JVM."""
-    return to_records(raw(spark, sf_dir), wire=False)
+    return to_records(raw(spark, sf_dir), wire=False, payload=payload)
 
 
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_records(raw(spark, sf_dir, mixed=True), wire=False)
 
 
-def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter on the topic reaches the file scan as a filter on the event type."""
+def dead_letters(spark: SparkSession, sf_dir: str, payload: bool = True) -> DataFrame:
+    """Records of the dead-letter topic only; the filter reaches the file scan as one on the event type."""
     log = raw_log(events(spark, sf_dir).filter("event_type = 'error'"))
-    return to_records(log, wire=False)
+    return to_records(log, wire=False, payload=payload)
 
 
 def schema_registry(spark: SparkSession) -> DataFrame:
