@@ -20,7 +20,7 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
 
 def read_body(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as message bodies, one row ``(value, path)`` each."""
-    bodies = spark.read.option("wholetext", "true").text(path)
+    bodies = spark.read.text(path, wholetext=True)
     return bodies.select("value", F.col("_metadata.file_path").alias("path"))
 
 
