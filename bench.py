@@ -49,8 +49,6 @@ HEADLINE = (
     "recent_events",
     "session_roundtrip",
     "stream_tail",
-    "stream_throughput",
-    "stream_trace",
 )
 
 

@@ -79,7 +79,11 @@ DIAGNOSIS = (
 
 
 def diagnose(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Add the nine diagnosis columns. One lazy CASE over the rules, no shuffle."""
+    """Add the nine diagnosis columns. One lazy CASE over the rules, no shuffle.
+
+    They leave through a one-row generator, so that a filter on the category does not carry copies of all rules, and
+    of the header lookups inside them, down to the scan.
+    """
     headers = F.col("headers")
     df = df.withColumns(
         {
@@ -103,15 +107,14 @@ def diagnose(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
         known = F.array(*[F.lit(t) for t in texts])
         return F.coalesce(F.get(known, F.col("_rule")), otherwise)
 
-    df = df.withColumns(
-        {
-            "failure_category": pick([r.category for r in rules], F.lit(NO_RULE_CATEGORY)),
-            "root_cause": pick([r.cause for r in rules], F.coalesce("exception_message", F.lit(NO_RULE_CAUSE))),
-            "suggested_action": pick([r.action for r in rules], F.lit(NO_RULE_ACTION)),
-        }
-    )
-    kept = [c for c in df.columns if c not in DIAGNOSIS and not c.startswith("_")]
-    return df.select(*kept, *DIAGNOSIS)
+    found = {
+        "failure_category": pick([r.category for r in rules], F.lit(NO_RULE_CATEGORY)),
+        "root_cause": pick([r.cause for r in rules], F.coalesce("exception_message", F.lit(NO_RULE_CAUSE))),
+        "suggested_action": pick([r.action for r in rules], F.lit(NO_RULE_ACTION)),
+    }
+    kept = [c for c in df.columns if c not in DIAGNOSIS and c not in ("_text", "_rule")]
+    diagnosis = F.struct(*[found.get(name, F.col(name)).alias(name) for name in DIAGNOSIS])
+    return df.select(*kept, F.inline(F.array(diagnosis)))
 
 
 def inspect(df: DataFrame, limit: int = 10, rules: Sequence[Rule] | None = DEFAULT_RULES) -> DataFrame:
