@@ -13,10 +13,14 @@ from topicwise.session import prepare
 CHANGES = "array<struct<path:string,diff_type:string,old_value:string,new_value:string>>"
 
 
+def _is_variant(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.VariantType)
+
+
 def _as_variant(df: DataFrame, name: str) -> Column:
     """A JSON text parsed; a text that is not JSON as a string; a missing side as JSON null."""
     null = F.parse_json(F.lit("null"))
-    if isinstance(df.schema[name].dataType, T.VariantType):
+    if _is_variant(df, name):
         return F.coalesce(F.col(name), null)
     return F.coalesce(strict_json(name), F.col(name).cast("variant"), null)
 
@@ -28,12 +32,16 @@ def _compare(pairs: DataFrame, pair_id: str, max_depth: int) -> DataFrame:
     """
     prepare(pairs.sparkSession)
     x, y = F.col("x"), F.col("y")
+    same_text = F.lit(False) if _is_variant(pairs, "a") or _is_variant(pairs, "b") else F.col("a").eqNullSafe(F.col("b"))
     sides = pairs.select(
-        F.col(pair_id).alias(pair_id), _as_variant(pairs, "a").alias("x"), _as_variant(pairs, "b").alias("y")
+        F.col(pair_id).alias(pair_id),
+        _as_variant(pairs, "a").alias("x"),
+        _as_variant(pairs, "b").alias("y"),
+        same_text.alias("same_text"),
     )
     whole = F.array(_change(F.lit("value"), "modified", x, y))
     changes = (
-        F.when(F.to_json(x) == F.to_json(y), _no_change())
+        F.when(F.col("same_text"), _no_change())
         .when(is_object(x) & is_object(y), _changes_inside(x, y, F.lit(""), max_depth))
         .when(same_value(x, y), _no_change())
         .otherwise(whole)
@@ -58,10 +66,14 @@ def _change(path: Column, kind: str, x: Column | None, y: Column | None) -> Colu
 def _changes_inside(x: Column, y: Column, prefix: Column, levels: int) -> Column:
     """Differences between the members of two objects."""
     xs, ys = x.try_cast("map<string,variant>"), y.try_cast("map<string,variant>")
-    in_either = F.array_union(F.map_keys(xs), F.map_keys(ys))
-    members = F.transform(
-        in_either, lambda k: F.struct(dotted(prefix, k).alias("path"), xs[k].alias("x"), ys[k].alias("y"))
-    )
+
+    def pair_up(both: Column) -> Column:
+        a, b = both["xs"], both["ys"]
+        names = F.array_union(F.map_keys(a), F.map_keys(b))
+        return F.transform(names, lambda k: F.struct(dotted(prefix, k).alias("path"), a[k].alias("x"), b[k].alias("y")))
+
+    # Through an array of one, so that the objects are taken apart once and not again for every member.
+    members = F.transform(F.array(F.struct(xs.alias("xs"), ys.alias("ys"))), pair_up)[0]
 
     def compare(m: Column) -> Column:
         old, new, path = m["x"], m["y"], m["path"]
