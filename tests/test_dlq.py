@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from topicwise.functions.payload import json_num
 from topicwise.operators import dlq, redrive

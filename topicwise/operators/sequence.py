@@ -9,7 +9,7 @@ offset only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +86,7 @@ def follow(
     )
 
 
-def running_delay(df: DataFrame, ts: str, delay: callable, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def running_delay(df: DataFrame, ts: str, delay: Callable[[Column, Column], Column], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Delay to the previous row and its running total over the whole frame, as ``delay_s`` and ``at_s``.
 
     ``delay`` maps the ``(previous, current)`` time columns to seconds. Totals are summed in whole microseconds,
