@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import packing, shards, tokenfile
+from topicwise.llm import packing, shards, tokenfile, toxicity
 from topicwise.llm.common import read
 
 
@@ -50,9 +50,22 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path)
 
 
+HELD_OUT = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(f"NOT ({HELD_OUT})")
+    rows = toxicity.score(docs, toxicity.train(docs, labels))
+    return rows.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted")
+    )
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
     "op4_shard_external_shuffle": sharded,
+    "op8_toxicity_subwords": scored,
     "op10_token_orc": token_files,
 }
 

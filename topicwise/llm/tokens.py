@@ -1,32 +1,45 @@
-"""Token ids by the ``tokenizers`` library, encoded once per distinct word of a batch stream.
+"""Token ids by the ``tokenizers`` library, encoded once per distinct word of a stream of batches.
 
-White space always ends a token of the tokenizers used here, so a text's ids are the ids of its chunks between spaces, one
-after another. Each task keeps the ids of chunks it has met (bounded) and hands only new ones to the library.
+The tokenizer cuts a text into words, digits and runs of signs, and encodes each by itself, so a text's ids are those of its
+pieces one after another. Each Python worker keeps the ids of pieces it has met (bounded) and hands only new ones to the library.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a Python worker keeps, in two generations of this size; longer chunks are encoded each time.
-KEPT_CHUNKS = 300_000
+#: Pieces that a Python worker keeps, in two generations of this size; longer pieces are encoded each time.
+KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 #: Characters of text encoded together.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 200_000
 
 
-class ChunkEncoder:
+# The tokenizer's own splitting rule, written out for lower-case texts of Latin-1 characters.
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
+UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]")
+WORD = re.compile(rf"[{LETTERS}]+")
+
+
+class PieceEncoder:
+    """Ids of texts, piece by piece. What cannot be cut safely goes to the library whole."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one Spark task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -34,51 +47,56 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that ``self.new`` lacks: from the old generation or from the library."""
-        found = {c: self.old[c] for c in chunks if c in self.old}
-        rest = [c for c in chunks if c not in found]
-        for i in range(0, len(rest), 2000):
-            found.update(zip(rest[i : i + 2000], self._library(rest[i : i + 2000])))
-        if len(self.new) + len(found) > KEPT_CHUNKS:
-            self.old, self.new = self.new, {}
-        self.new.update((c, ids) for c, ids in found.items() if len(c) <= KEPT_LENGTH)
-        return found
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one text; the last id of each word is marked as an end."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):
+            return self._library(words)
+        data = ids.tobytes()
+        return [data[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Add the ids of pieces to ``self.new``, from the old generation or from the library."""
+        words, rest = [], []
+        for p in pieces:
+            if p in self.old:
+                self.new[p] = self.old[p]
+            else:
+                (words if WORD.fullmatch(p) else rest).append(p)
+        for todo, encode in ((words, self._words), (rest, self._library)):
+            for i in range(0, len(todo), 1000):
+                self.new.update(zip(todo[i : i + 1000], encode(todo[i : i + 1000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.tokens)}  # may span spaces: not cut
-        cut = [[] if i in whole else _chunks(t) for i, t in enumerate(texts)]
-        known = self.new
-        missing = {c for chunks in cut for c in chunks if c not in known}
-        if missing:
-            known = known | self._learn(missing) if len(missing) > 50_000 else _Both(self._learn(missing), known)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for i in whole:
-            out[i] = self._library([texts[i]])[0]
+        cut = [self._cut(t) for t in texts]
+        here = set().union(*filter(None, cut))
+        if len(self.new) + len(here) > KEPT_PIECES:
+            self.old, self.new = self.new, {}
+        self._learn(here.difference(self.new))
+        get = dict(zip(here, map(self.new.__getitem__, here))).__getitem__  # small: stays in the processor's cache
+        whole = iter(self._library([t for t, pieces in zip(texts, cut) if pieces is None]))
+        out = [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        for p in here:
+            if len(p) > KEPT_LENGTH:
+                del self.new[p]
         return out
 
-
-class _Both(dict):
-    """Lookups in a small dict, then in a large one that is not copied."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key):
-        return self.then[key]
-
-
-def _chunks(text: str) -> list[str]:
-    if text.isascii():
-        text = text.lower()  # what the tokenizer does itself; fewer distinct chunks
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _cut(self, text: str) -> list[str] | None:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                text = None
+        if text is None or UNUSUAL.search(text) or any(t in text for t in self.tokens):
+            return None
+        return PIECE.findall(text.lower())
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
