@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import packing, shards, tokenfile, toxicity
+from topicwise.llm import packing, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -62,11 +62,32 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.read_archive(spark, warc.write_archive(pages)).select(
+        F.col("id").cast(kind).alias("page_id"),
+        F.col("payload_bytes").cast("long").alias("payload_bytes"),
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
     "op4_shard_external_shuffle": sharded,
     "op8_toxicity_subwords": scored,
+    "op9_warc_boundary_chain": archived,
     "op10_token_orc": token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_warc_boundary_chain": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p LEFT JOIN m USING (d)""",
+}
