@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import packing, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, packing, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -74,8 +74,22 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    rows = decontaminate.decontaminate(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size=13)
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
+    "op3_decontaminate_positional": contaminated,
     "op4_shard_external_shuffle": sharded,
     "op8_toxicity_subwords": scored,
     "op9_warc_boundary_chain": archived,
@@ -83,6 +97,22 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_decontaminate_positional": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+        p AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+              FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0),
+        k AS (SELECT DISTINCT k FROM p),
+        o AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, k, unnest(range(1, len(w) - k + 2)) AS t(i)),
+        m AS (SELECT doc_id, i, o.k, item_id FROM o JOIN p ON o.k = p.k AND o.g = p.g),
+        h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM m, unnest(range(i, i + k)) AS t(j) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                     string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op9_warc_boundary_chain": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         m AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
