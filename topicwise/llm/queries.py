@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, packing, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, minhash, packing, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -87,10 +87,17 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
     "op3_decontaminate_positional": contaminated,
     "op4_shard_external_shuffle": sharded,
+    "op7_minhash_tensored": near_duplicates,
     "op8_toxicity_subwords": scored,
     "op9_warc_boundary_chain": archived,
     "op10_token_orc": token_files,
@@ -113,6 +120,18 @@ ORACLE = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_minhash_tensored": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+        e AS (SELECT doc_id, unnest(g) AS x FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT c.a, c.b FROM c JOIN s x ON c.a = x.doc_id JOIN s y ON c.b = y.doc_id
+              WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT s.doc_id, len(g) AS n_shingles, min(b) AS component_id, s.doc_id = min(b) AS kept
+        FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, g""",
     "op9_warc_boundary_chain": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         m AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
