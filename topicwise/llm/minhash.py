@@ -35,6 +35,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def digest(items: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), "int64").tolist())
+
+
 class Hashes:
     """``groups`` x 2 groups of ``rows`` minhashes: multiplication by fixed odd numbers."""
 
@@ -113,10 +118,10 @@ def _signed(source: DataFrame, words: int, hashes: Hashes, id_type: str) -> Data
             n, high, low, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 items = shingles(text, words)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), "int64")
+                k1, k2 = digest(items)
                 n.append(len(items))
-                high.append(digest[0])
-                low.append(digest[1])
+                high.append(k1)
+                low.append(k2)
                 keys.append(hashes.keys(items).ravel() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in (n, high, low)), pa.array(keys, pa.list_(pa.int64()))],
@@ -133,7 +138,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in ("id", "text", "k1", "k2"))
             for id_, text, k1, k2 in zip(*columns):
                 items = shingles(text, words)
-                if np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), "int64").tolist() == [k1, k2]:
+                if digest(items) == (k1, k2):  # else another text with the same id and hash
                     ids.append(id_)
                     sets.append(items.view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])

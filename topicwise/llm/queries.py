@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, minhash, packing, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -93,10 +93,25 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per paragraph that is repeated: where it stands, and which document keeps it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = paragraphs.repeated_paragraphs(docs)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("place").alias("paragraph"),
+        F.col("begin").alias("start"),
+        "length",
+        F.col("cluster_doc").alias("kept_doc_id"),
+        "kept",
+    )
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
     "op3_decontaminate_positional": contaminated,
     "op4_shard_external_shuffle": sharded,
+    "op5_paragraph_minhash": repeated_paragraphs,
     "op7_minhash_tensored": near_duplicates,
     "op8_toxicity_subwords": scored,
     "op9_warc_boundary_chain": archived,
@@ -120,6 +135,7 @@ ORACLE = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op5_paragraph_minhash": repeated_paragraphs,
     "op7_minhash_tensored": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
