@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, lattice, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -107,11 +107,16 @@ def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 QUERIES = {
     "op2_pack_concatenate_cut": packed,
     "op3_decontaminate_positional": contaminated,
     "op4_shard_external_shuffle": sharded,
     "op5_paragraph_minhash": repeated_paragraphs,
+    "op6_embedding_e8": near_vectors,
     "op7_minhash_tensored": near_duplicates,
     "op8_toxicity_subwords": scored,
     "op9_warc_boundary_chain": archived,
@@ -136,6 +141,14 @@ ORACLE = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op5_paragraph_minhash": repeated_paragraphs,
+    "op6_embedding_e8": near_vectors,
+    "op6_embedding_e8": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept
+        FROM r LEFT JOIN n USING (a) GROUP BY a""",
     "op7_minhash_tensored": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
