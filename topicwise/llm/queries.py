@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, lattice, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, lattice, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -111,7 +111,12 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op1_main_text_suffixes": main_texts,
     "op2_pack_concatenate_cut": packed,
     "op3_decontaminate_positional": contaminated,
     "op4_shard_external_shuffle": sharded,
