@@ -59,7 +59,6 @@ def test_schema_of_record(raw):
     df = to_records(raw(("t", 0, 0, 1, b"k", b"v", [])))
     assert df.columns == RECORD.names
     assert [f.dataType for f in df.schema] == [f.dataType for f in RECORD]
-    assert to_records(raw(("t", 0, 0, 1, b"k", b"v", [])), payload=False).schema.names == RECORD.names
 
 
 def test_text_headers_and_flags(raw):
@@ -138,8 +137,14 @@ def test_flatten(records):
         ("a", "object", None), ("a.b", "array", None), ("a.b[0]", "leaf", "1"), ("a.b[1]", "object", None),
         ("a.b[1].c", "leaf", None), ("d", "leaf", "x"), ("e", "object", None),
     }
-    with pytest.raises(Exception, match="max_depth=2"):
-        flatten_payload(rows, max_depth=2).collect()
+    assert {(r.path, r.node_type, r.leaf_text) for r in flatten_payload(rows, levels=1).collect()} == found
+
+
+def test_flatten_any_depth(records):
+    deep = b'{"a":' * 40 + b"[1,[]]" + b"}" * 40
+    rows = flatten_payload(records(("t", 0, 0, 1, None, deep, []), ("t", 0, 1, 1, None, b'{"x":1}', [])))
+    assert rows.count() == len(rows.collect()) == 40 + 2 + 1
+    assert rows.filter("node_type = 'leaf'").select("leaf_text").distinct().count() == 1
 
 
 def test_filters_reach_the_scan(spark, tmp_path, raw):

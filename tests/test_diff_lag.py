@@ -41,10 +41,34 @@ def test_items_and_summary(spark, as_variant):
         assert r.identical == (not kinds)
 
 
-def test_too_deep_fails(spark):
-    df = spark.createDataFrame([(1, PAIRS[-1][0], PAIRS[-1][1])], "pair_id int, a string, b string")
-    with pytest.raises(Exception, match="max_depth"):
-        diff.diff_payloads(df, max_depth=3).collect()
+def test_any_depth(spark):
+    def nested(core):
+        return '{"k":' * 40 + core + "}" * 40
+
+    pairs = [(1, nested('{"x":1,"y":2}'), nested('{"x":1,"y":3,"z":4}')), (1, nested("[1]"), nested("[1.0]")), (2, '{"q":1}', '{"q":2}')]
+    df = spark.createDataFrame(pairs, "pair_id int, a string, b string")
+    path = ".".join(["k"] * 40)
+    found = {(r.pair_id, r.path, r.diff_type, r.old_value, r.new_value) for r in diff.diff_payloads(df).collect()}
+    assert found == {(1, f"{path}.y", "modified", "2", "3"), (1, f"{path}.z", "added", None, "4"), (2, "q", "modified", "1", "2")}
+    counts = sorted((r.pair_id, r.added_count, r.removed_count, r.modified_count, r.identical) for r in diff.diff_summary(df).collect())
+    assert counts == [(1, 0, 0, 0, True), (1, 1, 0, 1, False), (2, 0, 0, 1, False)]
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("[1e2]", "[100]", True),
+        ("[true,[0.5]]", "[1,[5e-1]]", True),
+        ('["1"]', "[1]", False),
+        ('["a,1.0"]', '["a,1"]', False),
+        ("9007199254740993", "9007199254740992.0", False),
+        ("9007199254740992", "9007199254740992.0", True),
+        ('[{"n":2.0}]', '[{"n":2}]', True),
+    ],
+)
+def test_numbers_by_value(spark, a, b, same):
+    df = spark.createDataFrame([(1, f'{{"v":{a}}}', f'{{"v":{b}}}')], "pair_id int, a string, b string")
+    assert diff.diff_payloads(df).isEmpty() == same
 
 
 def test_pair_records(records):

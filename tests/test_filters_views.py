@@ -88,3 +88,51 @@ def test_text_functions(spark):
     ).first()
     assert row.h == {"a": "3", "b": ""}
     assert (row.e, row.none, row.kept) == ("SocketTimeoutException", None, "x" * 40)
+
+
+def test_regex_folds_letters_of_any_script(records):
+    from topicwise.functions.text import exception_class
+    from topicwise.operators.filters import matches_regex
+
+    rows = records(("t", 0, 0, 1, "ÉCLAIR".encode(), b"{}", []), ("t", 0, 1, 1, b"other", b"{}", []))
+    assert [r.offset for r in rows.filter(matches_regex("éclair")).collect()] == [0]
+    from pyspark.sql import functions as F
+
+    assert rows.limit(1).select(exception_class(F.lit("at ÜberException: x"))).first()[0] == "ÜberException"
+
+
+def test_throughput_counts_records_without_a_time(records):
+    from topicwise.operators.stats import throughput
+
+    rows = records(("t", 0, 0, 1500, None, b"{}", []), ("t", 0, 1, None, None, b"{}", []), ("t", 0, 2, -1, None, b"{}", []))
+    found = {r.window_start_ms: r.events for r in throughput(rows).collect()}
+    assert found == {1000: 1, None: 1, -1000: 1}
+
+
+def test_json_array_with_repeated_first_record(records):
+    import json
+
+    from topicwise.sinks.export import json_array_lines
+
+    one = ("t", 0, 0, 1, b"k", b'{"a":1}', [])
+    lines = [r.line for r in json_array_lines(records(one, one, ("t", 0, 1, 1, b"k", b"{}", []))).collect()]
+    assert [r["offset"] for r in json.loads("\n".join(lines))] == [0, 0, 1]
+
+
+def test_redrive_limit_counts_records(records):
+    from topicwise.operators.redrive import redrive_batch
+
+    one = ("t.dlq", 0, 0, 1, b"k", b'{"a":1}', [("x-original-topic", b"t")])
+    plan, summary = redrive_batch(records(one, one, one), limit=2, dry_run=True)
+    assert plan.count() == summary.first().matched_count == 2
+
+
+def test_many_ids_alike_on_both_ways(spark, records, monkeypatch):
+    from topicwise.operators import trace
+
+    one = ("t", 0, 0, 1, b"id-7", b'{"a":1}', [])
+    rows = records(one, one, ("t", 0, 1, 1, b"id-9", b"{}", []))
+    ids = spark.createDataFrame([("id-7",), ("id-9",)], "correlation_id string")
+    few = sorted((r.offset, r.correlation_id) for r in trace.pair_with_ids(rows, ids).collect())
+    monkeypatch.setattr(trace, "BROADCAST_IDS", 0)
+    assert few == sorted((r.offset, r.correlation_id) for r in trace.pair_with_ids(rows, ids).collect()) == [(0, "id-7"), (0, "id-7"), (1, "id-9")]

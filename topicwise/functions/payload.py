@@ -81,18 +81,43 @@ def json_truthy(payload: Column | str, path: str) -> Column:
 
 
 def same_value(x: Column, y: Column) -> Column:
-    """JSON equality: numbers by value (1 = 1.0, true = 1), everything else by its canonical text."""
+    """JSON equality: numbers by value (1 = 1.0, true = 1) at any depth of a list, everything else by its canonical text.
+
+    An integer and a decimal are compared exactly; a double has 15 to 17 digits, so others are compared as doubles.
+    """
     kx, ky = kind_of(x), kind_of(y)
 
-    def number(v: Column, kind: Column) -> Column:
-        return F.when(_is_number_kind(kind), F.try_variant_get(v, "$", "double")).when(
-            kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")
+    def number(v: Column, kind: Column, as_type: str) -> Column:
+        return F.when(_is_number_kind(kind), F.try_variant_get(v, "$", as_type)).when(
+            kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast(as_type)
         )
 
-    both_integers = (kx == "BIGINT") & (ky == "BIGINT")
-    return (F.to_json(x) == F.to_json(y)) | F.coalesce(
-        ~both_integers & (number(x, kx) == number(y, ky)), F.lit(False)
+    exact = "decimal(38,18)"
+    integers = (kx == "BIGINT").cast("int") + (ky == "BIGINT").cast("int")
+    same_number = F.coalesce(
+        F.when(integers >= 1, number(x, kx, exact) == number(y, ky, exact)), number(x, kx, "double") == number(y, ky, "double")
     )
+    lists = F.startswith(kx, F.lit("ARRAY<")) & F.startswith(ky, F.lit("ARRAY<"))
+    same_list = F.when(lists, _by_value(F.to_json(x)) == _by_value(F.to_json(y)))
+    return (F.to_json(x) == F.to_json(y)) | F.coalesce(same_number, same_list, F.lit(False))
+
+
+def _by_value(json: Column) -> Column:
+    """A JSON text with each number and boolean written by its value alone."""
+    tokens = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*"|[^"\s,:\[\]{}]+|[,:\[\]{}])'), 1)
+
+    def plain(t: Column) -> Column:
+        double = t.try_cast("double")
+        whole = F.when((double == F.floor(double)) & (F.abs(double) < 1e15), double.cast("bigint").cast("string"))
+        integer = F.when(t.rlike("^-?[0-9]+$"), F.coalesce(t.try_cast("bigint").cast("string"), t))
+        return (
+            F.when(t == "true", "1")
+            .when(t == "false", "0")
+            .when(t.rlike("^-?[0-9]"), F.coalesce(integer, whole, double.cast("string"), t))
+            .otherwise(t)
+        )
+
+    return F.array_join(F.transform(tokens, plain), "")
 
 
 def payload_text(payload: Column | str = "payload", value: Column | str = "value") -> Column:

@@ -107,7 +107,8 @@ def digits_or_null(c: Column | str) -> Column:
 
 def exception_class(c: Column | str) -> Column:
     """Last dotted part of the first word ending in Exception or Error (case-sensitive), else NULL."""
-    name = non_empty(F.regexp_extract(_col(c), r"([\w.]+(?:Exception|Error))", 1))
+    # Fixed value: the pattern, over Unicode letters.
+    name = non_empty(F.regexp_extract(_col(c), r"(?U)([\w.]+(?:Exception|Error))", 1))
     return F.substring_index(name, ".", -1)
 
 

@@ -124,9 +124,10 @@ def decode(
         fmt.alias("payload_format"),
         payload.isNotNull().alias("is_structured"),
         F.col("schema_id"),
-        F.when(by_type, msg["error"]).alias("decode_error"),
     )
-    return df.select(*raw.columns, "header_text", F.inline(F.array(decoded)))
+    # The error stands beside the generator: what reads only the error or the headers is not tied to the payload.
+    error = F.when(by_type, msg["error"]).alias("decode_error")
+    return df.select(*raw.columns, "header_text", error, F.inline(F.array(decoded)))
 
 
 def to_records(
@@ -134,13 +135,9 @@ def to_records(
     proto: ProtoSpec | None = None,
     wire: bool = True,
     extra: Sequence[Extra] = (),
-    payload: bool = True,
 ) -> DataFrame:
-    """RAW to RECORD: decode the value, turn key, value and headers into text, flag dead letters.
-
-    ``payload=False`` leaves the decoded columns NULL, for work that needs only coordinates, headers and text.
-    """
-    df = decode(raw, proto, wire, extra) if payload else _undecoded(raw)
+    """RAW to RECORD: decode the value, turn key, value and headers into text, flag dead letters."""
+    df = decode(raw, proto, wire, extra)
     headers = F.col("header_text")
     marked = F.arrays_overlap(F.map_keys(headers), F.array(*[F.lit(n) for n in DLQ_MARKER_HEADERS]))
     return df.select(
@@ -163,14 +160,6 @@ def to_records(
     ).select(*RECORD.names)
 
 
-def _undecoded(raw: DataFrame) -> DataFrame:
-    types = {f.name: f.dataType for f in RECORD}
-    names = ("payload", "payload_format", "is_structured", "schema_id", "decode_error")
-    return raw.withColumns(
-        {"header_text": header_map("headers")} | {n: F.lit(None).cast(types[n]) for n in names}
-    )
-
-
 def attach_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``schema_definition`` and ``schema_type`` (default AVRO) of each framed record.
 

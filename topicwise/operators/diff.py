@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from topicwise.functions.payload import is_object, same_value, strict_json
 from topicwise.functions.text import dotted
-from topicwise.session import prepare
+from topicwise.session import prepare, staged
 
 CHANGES = "array<struct<path:string,diff_type:string,old_value:string,new_value:string>>"
 
@@ -25,10 +25,15 @@ def _as_variant(df: DataFrame, name: str) -> Column:
     return F.coalesce(strict_json(name), F.col(name).cast("variant"), null)
 
 
-def _compare(pairs: DataFrame, pair_id: str, max_depth: int) -> DataFrame:
+#: Levels of two objects that one round compares in the row.
+LEVELS = 4
+
+
+def _first_round(pairs: DataFrame, pair_id: str, levels: int) -> DataFrame:
     """Each pair with ``changes``: its differences as an array of ``(path, diff_type, old_value, new_value)``.
 
-    Both payloads sit in one row, so nothing is joined or shuffled, and the source is read once.
+    Both payloads sit in one row, so nothing is joined or shuffled, and the source is read once. Objects that differ below
+    ``levels`` are one entry of type ``deeper``.
     """
     prepare(pairs.sparkSession)
     x, y = F.col("x"), F.col("y")
@@ -42,11 +47,23 @@ def _compare(pairs: DataFrame, pair_id: str, max_depth: int) -> DataFrame:
     whole = F.array(_change(F.lit("value"), "modified", x, y))
     changes = (
         F.when(F.col("same_text"), _no_change())
-        .when(is_object(x) & is_object(y), _changes_inside(x, y, F.lit(""), max_depth))
+        .when(is_object(x) & is_object(y), _changes_inside(x, y, F.lit(""), levels))
         .when(same_value(x, y), _no_change())
         .otherwise(whole)
     )
-    return sides.select(pair_id, changes.alias("changes"))
+    return staged(sides.select(pair_id, F.monotonically_increasing_id().alias("_row"), changes.alias("changes")), "diff-round")
+
+
+def _deeper(compared: DataFrame, levels: int) -> DataFrame | None:
+    """``(_row, changes)`` of what the rounds after the first find; None where there is nothing deeper."""
+    out = None
+    while True:
+        rest = compared.select("_row", F.explode(F.filter("changes", lambda c: c["diff_type"] == "deeper")).alias("c"))
+        if rest.isEmpty():
+            return out
+        inside = _changes_inside(F.parse_json("c.old_value"), F.parse_json("c.new_value"), F.col("c.path"), levels)
+        compared = staged(rest.select("_row", inside.alias("changes")), "diff-round")
+        out = compared if out is None else out.unionByName(compared)
 
 
 def _no_change() -> Column:
@@ -77,10 +94,7 @@ def _changes_inside(x: Column, y: Column, prefix: Column, levels: int) -> Column
 
     def compare(m: Column) -> Column:
         old, new, path = m["x"], m["y"], m["path"]
-        if levels > 1:
-            below = _changes_inside(old, new, path, levels - 1)
-        else:
-            below = F.raise_error(F.lit("payloads differ deeper than max_depth")).cast(CHANGES)
+        below = _changes_inside(old, new, path, levels - 1) if levels > 1 else F.array(_change(path, "deeper", old, new))
         # A JSON null is a value here; only a missing key gives NULL.
         return (
             F.when(new.isNull(), F.array(_change(path, "removed", old, None)))
@@ -94,29 +108,40 @@ def _changes_inside(x: Column, y: Column, prefix: Column, levels: int) -> Column
     return F.flatten(F.transform(members, compare))
 
 
-def diff_payloads(pairs: DataFrame, pair_id: str = "pair_id", max_depth: int = 8) -> DataFrame:
+def diff_payloads(pairs: DataFrame, pair_id: str = "pair_id", levels: int = LEVELS) -> DataFrame:
     """Differences of ``(pair_id, a, b)``: path, removed / added / modified, old and new value as JSON text.
 
-    ``a`` and ``b`` are JSON texts or VARIANT. Objects are compared member by member, everything else as a whole; an
-    added or removed subtree is one row. If a root is not an object the pair is one value at path ``value``.
-    Objects that differ below ``max_depth`` fail the job instead of losing rows; raise it for deeper payloads.
+    ``a`` and ``b`` are JSON texts or VARIANT. Objects are compared member by member to any depth, ``levels`` of them in a
+    round, everything else as a whole; an added or removed subtree is one row. If a root is not an object the pair is one
+    value at path ``value``.
     """
-    rows = _compare(pairs, pair_id, max_depth).select(pair_id, F.inline_outer("changes"))
-    # An inner generator would make Catalyst test the array for being empty first, and so compare everything twice.
-    return rows.filter(F.col("diff_type").isNotNull())
+    compared = _first_round(pairs, pair_id, levels)
+    rows = compared.select(pair_id, F.inline("changes"))
+    below = _deeper(compared, levels)
+    if below is not None:
+        rows = rows.unionByName(below.join(compared.select("_row", pair_id), "_row").select(pair_id, F.inline("changes")))
+    return rows.filter("diff_type <> 'deeper'")
+
 
+def diff_summary(pairs: DataFrame, pair_id: str = "pair_id", levels: int = LEVELS) -> DataFrame:
+    """Counts per pair, identical pairs included. Counted inside the row; only deep differences are joined to their pair."""
+    kinds = ("added", "removed", "modified")
 
-def diff_summary(pairs: DataFrame, pair_id: str = "pair_id", max_depth: int = 8) -> DataFrame:
-    """Counts per pair, identical pairs included. Counted inside the row: no shuffle."""
     def count_of(kind: str) -> Column:
         return F.size(F.filter("changes", lambda c: c["diff_type"] == kind)).cast("bigint")
 
-    return _compare(pairs, pair_id, max_depth).select(
+    compared = _first_round(pairs, pair_id, levels)
+    counts = {kind: count_of(kind) for kind in kinds}
+    rows = compared.select(pair_id, "_row", *[c.alias(kind) for kind, c in counts.items()])
+    below = _deeper(compared, levels)
+    if below is not None:
+        more = below.groupBy("_row").agg(*[F.sum(c).alias(f"deep_{kind}") for kind, c in counts.items()])
+        rows = rows.join(more, "_row", "left")
+        rows = rows.withColumns({kind: F.col(kind) + F.coalesce(f"deep_{kind}", F.lit(0)) for kind in kinds})
+    return rows.select(
         pair_id,
-        count_of("added").alias("added_count"),
-        count_of("removed").alias("removed_count"),
-        count_of("modified").alias("modified_count"),
-        (F.size("changes") == 0).alias("identical"),
+        *[F.col(kind).alias(f"{kind}_count") for kind in kinds],
+        (F.col("added") + F.col("removed") + F.col("modified") == 0).alias("identical"),
     )
 
 

@@ -36,7 +36,7 @@ def with_parsed_value(df: DataFrame) -> DataFrame:
 
 
 def matches_regex(pattern: str) -> Column:
-    p = F.lit(f"(?i){pattern}")
+    p = F.lit(f"(?iu){pattern}")
     in_headers = F.exists(
         F.map_entries("headers"), lambda e: F.rlike(F.concat(e["key"], F.lit(":"), e["value"]), p)
     )

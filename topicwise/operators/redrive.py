@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicwise.functions.text import header, header_array, non_empty, with_headers
@@ -102,7 +102,11 @@ def redrive_batch(
     wanted = flagged.filter("_matched")
     if limit:
         cutoff = nth_position(wanted, limit).scalar()
-        wanted = wanted.filter(position() <= cutoff)
+        # Several records may be stored at the last place: only as many of them as still fit.
+        before = wanted.filter(position() < cutoff).agg(F.count(F.lit(1))).scalar()
+        rank = F.row_number().over(Window.partitionBy(*SCAN_ORDER).orderBy("value"))
+        last = wanted.filter(position() == cutoff).withColumn("_rank", rank).filter(F.col("_rank") <= limit - before)
+        wanted = wanted.filter(position() < cutoff).unionByName(last.drop("_rank"))
     plan = plan_redrive(wanted, target, strip, redriven_by).withColumns(
         {
             "produced_partition": F.col("source_partition") if dry_run else F.lit(None).cast("int"),

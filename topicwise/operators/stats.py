@@ -14,12 +14,21 @@ def status_counts(records: DataFrame) -> DataFrame:
 
 
 def throughput(records: DataFrame, width: str = "1 second") -> DataFrame:
-    """Records per tumbling window of event time. On a stream, set a watermark on ``event_time`` first."""
-    timed = records if "event_time" in records.columns else with_event_time(records)
-    counted = timed.groupBy(F.window("event_time", width)).agg(
+    """Records per tumbling window of event time; those without a time are one row with a NULL window.
+
+    The window is plain arithmetic, not ``F.window``, which drops rows without a time.
+    """
+    start = F.expr(f"timestamp_ms - pmod(timestamp_ms, {_milliseconds(width)}L)")
+    return records.groupBy(start.alias("window_start_ms")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("is_dlq")).alias("dlq_events")
     )
-    return counted.select(F.unix_millis("window.start").alias("window_start_ms"), "events", "dlq_events")
+
+
+def _milliseconds(width: str) -> int:
+    """A width such as ``10 seconds`` or ``1 minute`` in milliseconds."""
+    number, unit = width.split()
+    units = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+    return int(number) * units[unit.rstrip("s")]
 
 
 def with_event_time(records: DataFrame) -> DataFrame:

@@ -110,9 +110,13 @@ def pair_with_ids(records: DataFrame, ids: DataFrame, exact: bool = False) -> Da
     offered = texts if exact else F.array_distinct(F.flatten(F.transform(texts, lambda t: _substrings(t, size.lengths))))
     if size.n <= BROADCAST_IDS and size.chars <= BROADCAST_CHARS:
         return records.withColumn("_text", F.explode_outer(offered)).join(F.broadcast(wanted), "_text").drop("_text")
-    place = ["topic", "partition", "offset"]
-    pairs = records.select(*place, F.explode_outer(offered).alias("_text")).join(wanted, "_text").drop("_text")
-    return records.join(pairs, place)
+    # A record stored twice, or without coordinates, is found by its place and its texts together, once per id.
+    named = records.withColumn("_texts", F.xxhash64(texts))
+    place = ["topic", "partition", "offset", "_texts"]
+    offers = named.select(*place, F.explode_outer(offered).alias("_text"))
+    pairs = offers.join(wanted, "_text").select(*[F.col(c).alias(f"_at_{c}") for c in place], "correlation_id").distinct()
+    same_place = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]
+    return named.join(pairs, same_place).select(*records.columns, "correlation_id")
 
 
 def _substrings(text: Column, lengths: list[int]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topicwise.functions.payload import kind_of, payload_text
 from topicwise.functions.text import dotted, ellipsis, non_empty
-from topicwise.session import prepare
+from topicwise.session import prepare, staged
 
 
 def _or_dash(c: Column | str) -> Column:
@@ -96,30 +96,46 @@ def hop_view(hops: DataFrame) -> DataFrame:
     )
 
 
-def flatten_payload(df: DataFrame, max_depth: int = 8, *, keep: tuple[str, ...] = ("topic", "partition", "offset")) -> DataFrame:
+#: Levels of a payload that one round takes apart in the row.
+LEVELS = 6
+
+
+def flatten_payload(df: DataFrame, *, keep: tuple[str, ...] = ("topic", "partition", "offset"), levels: int = LEVELS) -> DataFrame:
     """Every node below the payload root: ``path``, ``node_type`` (object, array, leaf) and the leaf's text.
 
-    One expression walks the payload, so the source is read once and nothing is shuffled. A payload nested deeper than
-    ``max_depth`` fails the job instead of losing nodes.
+    Payloads may be nested to any depth. A round walks ``levels`` levels in one expression, reads its input once and
+    shuffles nothing; subtrees that go deeper are the next round's input, until none is left. Rounds are written to the
+    shared folder, as the next one has to know whether anything is left.
     """
     prepare(df.sparkSession)
-    found = df.filter(F.col("payload").isNotNull())
-    # An inner generator would make Catalyst test the array for being empty first, and so walk everything twice.
-    nodes = found.select(*keep, F.inline_outer(_nodes_below(F.col("payload"), F.lit(""), 1, max_depth)))
-    nodes = nodes.filter(F.col("level").isNotNull()).withColumn("_kind", kind_of("v"))
-    kind = (
-        F.when(F.startswith("_kind", F.lit("OBJECT<")), "object")
-        .when(F.startswith("_kind", F.lit("ARRAY<")), "array")
-        .otherwise("leaf")
-    )
-    too_deep = (F.col("level") == max_depth) & (kind != "leaf") & ~F.to_json("v").isin("{}", "[]")
-    deep = F.raise_error(F.lit(f"payload nested deeper than max_depth={max_depth}"))
-    return nodes.select(
-        *keep,
-        F.when(too_deep, deep).otherwise(F.col("path")).alias("path"),
-        kind.alias("node_type"),
-        F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("leaf_text"),
-    )
+    found = df.filter(F.col("payload").isNotNull()).select(*keep, F.lit("").alias("_path"), F.col("payload").alias("_tree"))
+    done = None
+    while True:
+        # An inner generator would make Catalyst test the array for being empty first, and so walk everything twice.
+        nodes = found.select(*keep, F.inline_outer(_nodes_below(F.col("_tree"), F.col("_path"), 1, levels)))
+        nodes = nodes.filter(F.col("level").isNotNull()).withColumn("_kind", kind_of("v"))
+        kind = (
+            F.when(F.startswith("_kind", F.lit("OBJECT<")), "object")
+            .when(F.startswith("_kind", F.lit("ARRAY<")), "array")
+            .otherwise("leaf")
+        )
+        deeper = (F.col("level") == levels) & (kind != "leaf") & ~F.to_json("v").isin("{}", "[]")
+        nodes = staged(
+            nodes.select(
+                *keep,
+                "path",
+                kind.alias("node_type"),
+                F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("leaf_text"),
+                F.when(deeper, F.to_json("v")).alias("_rest"),
+            ),
+            "payload-nodes",
+        )
+        rows = nodes.drop("_rest")
+        done = rows if done is None else done.unionByName(rows)
+        rest = nodes.filter("_rest IS NOT NULL")
+        if rest.isEmpty():
+            return done
+        found = rest.select(*keep, F.col("path").alias("_path"), F.parse_json("_rest").alias("_tree"))
 
 
 def _nodes_below(v: Column, path: Column, level: int, max_depth: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicwise.operators.decode import to_records
+from topicwise.operators.filters import dlq_only
 from topicwise.operators.protobuf import ProtoSpec
 from topicwise.schemas import RAW, SCHEMA_ENTRY
 from topicwise.session import prepare
@@ -71,19 +72,18 @@ def raw(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
     return raw_log(events(spark, sf_dir), mixed)
 
 
-def records(spark: SparkSession, sf_dir: str, payload: bool = True) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded records. This log has no Protobuf, so decoding stays in the JVM."""
-    return to_records(raw(spark, sf_dir), wire=False, payload=payload)
+    return to_records(raw(spark, sf_dir), wire=False)
 
 
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_records(raw(spark, sf_dir, mixed=True), wire=False)
 
 
-def dead_letters(spark: SparkSession, sf_dir: str, payload: bool = True) -> DataFrame:
-    """Records of the dead-letter topic only; the filter reaches the file scan as one on the event type."""
-    log = raw_log(events(spark, sf_dir).filter("event_type = 'error'"))
-    return to_records(log, wire=False, payload=payload)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters among all records."""
+    return dlq_only(records(spark, sf_dir))
 
 
 def schema_registry(spark: SparkSession) -> DataFrame:

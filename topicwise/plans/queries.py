@@ -72,7 +72,7 @@ def partition_watermarks(spark, sf_dir):
 
 @query
 def record_lookup(spark, sf_dir):
-    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False))
+    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir))
     wanted = dead.filter("original_offset IS NOT NULL").select(
         F.col("original_topic").alias("topic"),
         F.col("original_partition").cast("int").alias("partition"),
@@ -188,7 +188,7 @@ def raw_view(spark, sf_dir):
 
 @query
 def dlq_list_view(spark, sf_dir):
-    return views.dlq_list_view(inputs.dead_letters(spark, sf_dir, payload=False))
+    return views.dlq_list_view(inputs.dead_letters(spark, sf_dir))
 
 
 @query
@@ -198,7 +198,7 @@ def dlq_inspect_view(spark, sf_dir):
 
 @query
 def flatten_payload(spark, sf_dir):
-    return views.flatten_payload(inputs.records(spark, sf_dir), max_depth=3).select(
+    return views.flatten_payload(inputs.records(spark, sf_dir)).select(
         "offset", "path", "node_type", "leaf_text"
     )
 
@@ -245,7 +245,7 @@ def keyword_search(spark, sf_dir):
 
 @query
 def dlq_only(spark, sf_dir):
-    return filters.dlq_only(inputs.records(spark, sf_dir, payload=False)).select(*COORDINATES, "error_message")
+    return filters.dlq_only(inputs.records(spark, sf_dir)).select(*COORDINATES, "error_message")
 
 
 # Lag and counters
@@ -291,22 +291,22 @@ def lag_share(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    return stats.status_counts(inputs.records(spark, sf_dir, payload=False))
+    return stats.status_counts(inputs.records(spark, sf_dir))
 
 
 @query
 def throughput_1s(spark, sf_dir):
-    return stats.throughput(inputs.records(spark, sf_dir, payload=False))
+    return stats.throughput(inputs.records(spark, sf_dir))
 
 
 @query
 def recent_events(spark, sf_dir):
-    return limits.recent(inputs.records(spark, sf_dir, payload=False), 300).select(*COORDINATES, "timestamp_ms", "key")
+    return limits.recent(inputs.records(spark, sf_dir), 300).select(*COORDINATES, "timestamp_ms", "key")
 
 
 @query
 def recent_dlq_diagnosed(spark, sf_dir):
-    newest = dlq.diagnose(limits.recent(inputs.records(spark, sf_dir, payload=False), 100, dlq_only=True))
+    newest = dlq.diagnose(limits.recent(inputs.records(spark, sf_dir), 100, dlq_only=True))
     return newest.select(*COORDINATES, "failure_category", "exception_type")
 
 
@@ -315,12 +315,12 @@ def recent_dlq_diagnosed(spark, sf_dir):
 
 @query
 def dlq_diagnose(spark, sf_dir):
-    return dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False)).select(*COORDINATES, *dlq.DIAGNOSIS)
+    return dlq.diagnose(inputs.dead_letters(spark, sf_dir)).select(*COORDINATES, *dlq.DIAGNOSIS)
 
 
 @query
 def dlq_by_category(spark, sf_dir):
-    return dlq.by_category(dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False)))
+    return dlq.by_category(dlq.diagnose(inputs.dead_letters(spark, sf_dir)))
 
 
 @query
@@ -329,13 +329,13 @@ def dlq_own_rules(spark, sf_dir):
         dlq.Rule("gateway", "Gateway", "The gateway failed.", "Wait."),
         dlq.Rule("null|id", "Data", "A value is missing or taken.", "Check the value."),
     )
-    return dlq.by_category(dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False), rules))
+    return dlq.by_category(dlq.diagnose(inputs.dead_letters(spark, sf_dir), rules))
 
 
 @query
 def dlq_source_link(spark, sf_dir):
-    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False))
-    return dlq.link_source(dead, inputs.records(spark, sf_dir, payload=False)).select(
+    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir))
+    return dlq.link_source(dead, inputs.records(spark, sf_dir)).select(
         *COORDINATES, "original_offset", "source_value", "source_timestamp_ms"
     )
 
@@ -360,17 +360,17 @@ def _sent(plan: DataFrame) -> DataFrame:
 
 @query
 def redrive_plan(spark, sf_dir):
-    return _sent(redrive.plan_redrive(inputs.dead_letters(spark, sf_dir, payload=False)))
+    return _sent(redrive.plan_redrive(inputs.dead_letters(spark, sf_dir)))
 
 
 @query
 def redrive_keep_headers(spark, sf_dir):
-    return _sent(redrive.plan_redrive(inputs.dead_letters(spark, sf_dir, payload=False), target="user.retry", strip=False))
+    return _sent(redrive.plan_redrive(inputs.dead_letters(spark, sf_dir), target="user.retry", strip=False))
 
 
 @query
 def redrive_patched(spark, sf_dir):
-    dead = inputs.dead_letters(spark, sf_dir, payload=False)
+    dead = inputs.dead_letters(spark, sf_dir)
     broken = dlq.diagnose(dead).filter(filters.in_category("syntax"))
     patches = broken.select(*COORDINATES, F.concat(F.lit('{"fixed":'), F.col("offset"), F.lit("}")).alias("patched_payload"))
     return _sent(redrive.plan_redrive(redrive.with_patches(dead, patches), target="user.events"))
@@ -378,14 +378,14 @@ def redrive_patched(spark, sf_dir):
 
 @query
 def redrive_without_sent(spark, sf_dir):
-    dead = inputs.dead_letters(spark, sf_dir, payload=False)
+    dead = inputs.dead_letters(spark, sf_dir)
     ledger = dead.filter("offset % 2 = 0").select(*COORDINATES)
     return redrive.already_sent(dead, ledger).select(*COORDINATES)
 
 
 @query
 def redrive_batch_summary(spark, sf_dir):
-    return redrive.redrive_batch(inputs.dead_letters(spark, sf_dir, payload=False), dry_run=True)[1]
+    return redrive.redrive_batch(inputs.dead_letters(spark, sf_dir), dry_run=True)[1]
 
 
 @query
@@ -396,12 +396,12 @@ def redrive_batch_category(spark, sf_dir):
 
 @query
 def redrive_batch_limit(spark, sf_dir):
-    return redrive.redrive_batch(inputs.dead_letters(spark, sf_dir, payload=False), category="failure", limit=50, dry_run=True)[1]
+    return redrive.redrive_batch(inputs.dead_letters(spark, sf_dir), category="failure", limit=50, dry_run=True)[1]
 
 
 @query
 def redrive_batch_plan(spark, sf_dir):
-    plan = redrive.redrive_batch(inputs.dead_letters(spark, sf_dir, payload=False), category="failure", limit=50, dry_run=True)[0]
+    plan = redrive.redrive_batch(inputs.dead_letters(spark, sf_dir), category="failure", limit=50, dry_run=True)[0]
     return plan.select(
         F.col("topic").alias("target"), "source_topic", "source_partition", "source_offset", "produced_partition", "produced_offset"
     )
@@ -423,7 +423,7 @@ def trace_hop_view(spark, sf_dir):
 
 @query
 def trace_all_hops(spark, sf_dir):
-    hops = trace.trace_all(inputs.records(spark, sf_dir, payload=False), CORRELATION)
+    hops = trace.trace_all(inputs.records(spark, sf_dir), CORRELATION)
     return hops.select("correlation_id", "step", *COORDINATES, "status", "latency_ms")
 
 
@@ -431,7 +431,7 @@ def trace_all_hops(spark, sf_dir):
 def trace_one_hot_key(spark, sf_dir):
     """Every record in one of three traces: what a dominating id does to the operator."""
     id_expr = "CASE WHEN offset % 3 = 0 THEN 'hot' ELSE concat('t', offset % 2) END"
-    hops = trace.trace_all(inputs.records(spark, sf_dir, payload=False), id_expr)
+    hops = trace.trace_all(inputs.records(spark, sf_dir), id_expr)
     return hops.select("correlation_id", "step", *COORDINATES, "latency_ms")
 
 
@@ -441,7 +441,7 @@ def _summary(summary: DataFrame) -> DataFrame:
 
 @query
 def trace_summary(spark, sf_dir):
-    rows = inputs.records(spark, sf_dir, payload=False).withColumn("correlation_id", F.expr(CORRELATION))
+    rows = inputs.records(spark, sf_dir).withColumn("correlation_id", F.expr(CORRELATION))
     return _summary(trace.trace_summary(rows))
 
 
@@ -481,21 +481,21 @@ def trace_many_exact(spark, sf_dir):
 
 @query
 def diff_items(spark, sf_dir):
-    return diff.diff_payloads(inputs.payload_pairs(spark, sf_dir), max_depth=3)
+    return diff.diff_payloads(inputs.payload_pairs(spark, sf_dir))
 
 
 @query
 def diff_summary(spark, sf_dir):
-    return diff.diff_summary(inputs.payload_pairs(spark, sf_dir), max_depth=3)
+    return diff.diff_summary(inputs.payload_pairs(spark, sf_dir))
 
 
 @query
 def diff_dlq_source(spark, sf_dir):
     """Each dead letter against the record it came from, where that exists."""
-    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir, payload=False))
-    linked = dlq.link_source(dead, inputs.records(spark, sf_dir, payload=False)).filter("source_value IS NOT NULL")
+    dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir))
+    linked = dlq.link_source(dead, inputs.records(spark, sf_dir)).filter("source_value IS NOT NULL")
     pairs = linked.select(F.col("offset").alias("pair_id"), F.col("value").alias("a"), F.col("source_value").alias("b"))
-    return diff.diff_payloads(pairs, max_depth=3).select("pair_id", "path", "diff_type")
+    return diff.diff_payloads(pairs).select("pair_id", "path", "diff_type")
 
 
 # Sessions, replay, export, produce
@@ -503,7 +503,7 @@ def diff_dlq_source(spark, sf_dir):
 
 @query
 def replay_plan(spark, sf_dir):
-    rows = inputs.records(spark, sf_dir, payload=False)
+    rows = inputs.records(spark, sf_dir)
     session = sessions.session_rows(rows, F.col("timestamp_ms"))
     plan = publish.replay_plan(session, target="user.replay", speed=100.0, source_file="day.lens")
     return plan.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicwise.operators.filters import record_json
@@ -30,14 +30,15 @@ def json_array_lines(records: DataFrame) -> DataFrame:
     """
     place = F.struct("topic", "partition", "offset")
     first = records.select(F.min(place)).scalar()
-    body = records.select(
-        F.lit(1).alias("section"),
-        "topic",
-        "partition",
-        "offset",
-        F.concat(F.when(place == first, " ").otherwise(","), record_json()).alias("line"),
-    )
-    ends = records.sparkSession.createDataFrame([(0, "["), (2, "]")], "section int, line string").select(
+    # Only the records stored at the first place are numbered, as one of them opens the array.
+    line = record_json()
+    at_first = records.filter(place.eqNullSafe(first)).select("topic", "partition", "offset", line.alias("line"))
+    opens = F.row_number().over(Window.partitionBy("topic", "partition", "offset").orderBy("line")) == 1
+    at_first = at_first.withColumn("line", F.concat(F.when(opens, " ").otherwise(","), "line"))
+    others = records.filter(~place.eqNullSafe(first)).select("topic", "partition", "offset", F.concat(F.lit(","), line).alias("line"))
+    opening = F.when(F.startswith("line", F.lit(" ")), 1).otherwise(2)
+    body = at_first.unionByName(others).select(opening.alias("section"), "topic", "partition", "offset", "line")
+    ends = records.sparkSession.createDataFrame([(0, "["), (3, "]")], "section int, line string").select(
         "section",
         F.lit("").alias("topic"),
         F.lit(0).alias("partition"),
