@@ -2,22 +2,31 @@
 
 Only connectivity is wanted, so a pair is verified only while its sides are not yet connected:
 
-1. each member of a table group against one member that all see, the smallest;
-2. the smallest members of its other groups, where still apart;
-3. last, in groups that still hold several components, whatever is outside the largest one against all that is not connected
-   with it. This makes the result exact for the candidates: no pair that meets in a table and is similar stays apart.
+1. each member of a table group against one member that all see, the smallest; sets with the same smallest member form a
+   neighbourhood;
+2. in neighbourhoods that still hold several components, whatever is outside the largest one against everything, block by
+   block inside tasks. A block has a bounded number of items, and only links leave it.
+
+So no candidate pair that is similar stays apart, and no list of pairs is ever built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicwise.llm.common import stage
 from topicwise.llm.graph import components, lookup
 
+#: Items of the sets of a block, on average; two blocks are compared in one task.
+BLOCK_ITEMS = 60_000
+#: Distinct items that are counted in one matrix product.
+COLUMNS = 8192
+
 
 def connect(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, component) of the ids that have links; others are alone.
@@ -30,28 +39,61 @@ def connect(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     sets = stage(sets_of(rows.select("id").distinct()), "sets")
     sizes = stage(sets.select("id", F.size("items").alias("n")), "set-sizes")
 
-    pairs = stage(rows.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    smallest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    around = stage(rows.select(F.col("first").alias("hub"), "id").distinct(), "neighbourhoods")
+    smallest = around.filter("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
     labels = _merge(None, _verified(smallest, sets, sizes, percent))
-
-    apart = stage(_apart(pairs.join(smallest, ["a", "b"], "left_anti"), labels), "pairs-apart")
-    if apart.limit(1).count():
-        labels = _merge(labels, _verified(apart, sets, sizes, percent))
-
-    named = stage(_named(rows, labels), "groups-named")
-    mixed = named.groupBy("table").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("table")
-    mixed = stage(named.join(mixed, "table"), "groups-mixed")
-    if mixed.limit(1).count():
-        # Components of a group by size; all but the largest look for partners.
-        parts = mixed.groupBy("table", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("table").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        others = mixed.join(largest, "table").filter("component <> largest")
-        others = others.select("table", F.col("id").alias("a"), F.col("component").alias("c"))
-        rest = others.join(mixed.select("table", F.col("id").alias("b"), "component"), "table").filter("c <> component")
-        rest = rest.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        rest = rest.join(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")), ["x", "y"], "left_anti")
-        labels = _merge(labels, _verified(rest.select(F.col("y").alias("a"), F.col("x").alias("b")), sets, sizes, percent))
-    return labels
+    return _merge(labels, _between_components(around, labels, sets, sizes, percent))
+
+
+def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a neighbourhood (hub, id)."""
+    named = stage(_named(around, labels).join(sizes, "id").select("hub", "id", "component", "n"), "neighbourhoods-named")
+    parts = named.groupBy("hub", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    # For each neighbourhood of several components: the largest of them, and how many blocks each side needs.
+    largest = F.max(F.struct("sets", "component", "items"))
+    mixed = parts.groupBy("hub").agg(largest.alias("top"), F.sum("items").alias("items"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda items: F.ceil(items / BLOCK_ITEMS).cast("int")
+    mixed = stage(
+        mixed.select(
+            "hub", F.col("top.component").alias("largest"), blocks(F.col("items")).alias("all_blocks"),
+            blocks(F.col("items") - F.col("top.items")).alias("other_blocks"),
+        ),
+        "neighbourhoods-mixed",
+    )
+    inside = lookup(named.withColumnRenamed("hub", "h"), "h", mixed, "hub")
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = inside.filter("component <> largest").select("h", "id", "component", F.lit(True).alias("left"), own("other_blocks").alias("i"), each("all_blocks").alias("j"))
+    right = inside.select("h", "id", "component", F.lit(False).alias("left"), each("other_blocks").alias("i"), own("all_blocks").alias("j"))
+    dealt = left.unionByName(right).join(sets, "id")
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        return _links_of_blocks(group[group["left"]], group[~group["left"]], percent)
+
+    return stage(dealt.groupBy("h", "i", "j").applyInPandas(links, "a bigint, b bigint").distinct(), "links-verified")
+
+
+def _links_of_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Similar pairs of sets of different components, one of each block: sizes of intersections by matrix products."""
+    both = [np.asarray(x, "int64") for x in (*left["items"], *right["items"])]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    sizes = np.array([len(x) for x in both])
+    found, column = np.unique(np.concatenate(both), return_inverse=True)
+    row, k = np.repeat(np.arange(len(both)), sizes), len(left)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((k, len(right)), "float32")
+    for start in range(0, len(found), COLUMNS):
+        begin, end = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(both), min(COLUMNS, len(found) - start)), "float32")
+        part[row[begin:end], column[begin:end] - start] = 1
+        common += part[:k] @ part[k:].T
+    common = common.astype("int64")
+    similar = 100 * common >= percent * (sizes[:k, None] + sizes[None, k:] - common)
+    similar &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+    a, b = np.nonzero(similar)
+    return pd.DataFrame({"a": left["id"].to_numpy()[a], "b": right["id"].to_numpy()[b]})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -68,12 +110,6 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    named = _named(pairs.withColumnRenamed("a", "id"), labels).select(F.col("id").alias("a"), "b", F.col("component").alias("ca"))
-    named = _named(named.withColumnRenamed("b", "id"), labels).filter("ca <> component")
-    return named.select("a", F.col("id").alias("b"))
-
-
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after new links: components of the links between components."""
     if labels is None:
