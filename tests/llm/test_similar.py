@@ -89,7 +89,7 @@ def test_vectors(spark):
     for i, (vec, _) in enumerate(vectors):
         ids = [vectors[j][0] for j in range(len(vectors)) if root[j] == root[i] and vectors[j][0] is not None]
         head = min(ids) if ids else None
-        expected.append((vec, sum(linked(i, j) for j in range(len(vectors)) if j != i), head, vec == head))
+        expected.append((vec, sum(bool(linked(i, j)) for j in range(len(vectors)) if j != i), head, vec == head))
     assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in out)
 
 

@@ -52,7 +52,7 @@ def write_archive(
         rows = rows.join(F.broadcast(repeated), F.col("digest") == F.col("d"), "left")
     else:
         salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(salts))
-        copies = repeated.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        copies = repeated.withColumn("s", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
         rows = rows.withColumn("salt", salt).join(copies, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     revisit = F.coalesce(F.col("bytes") >= least_bytes, F.lit(False)) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     rows.select(_record(revisit, date).alias("value")).write.option("lineSep", END).text(path)
