@@ -11,16 +11,16 @@ from topicwise.schemas import RECORD, SCHEMA_ENTRY
 
 PROTO = [("content-type", b"application/x-protobuf")]
 CASES = [
-    (b'{"order_id": "ord_100", "total": 49.99}', [], "json", '{"order_id":"ord_100","total":49.99}'),
+    (b'{"tank": "T-7", "litres": 12.75}', [], "json", '{"litres":12.75,"tank":"T-7"}'),
     (b" [1, 2] ", [], "json", "[1,2]"),
     (b'{"a":1,"a":2}', [], "json", '{"a":2}'),
-    (b"not json at all", [], "text", None),
-    (b"{corrupted json:", [], "text", None),
+    (b"plain words only", [], "text", None),
+    (b"{\"tank\": T-7,", [], "text", None),
     (b'{"a":1}}', [], "text", None),
     (b'{"a":1} x', [], "text", None),
     (b"{},0],{}", [], "text", None),
     (b"123", [], "text", None),
-    (b"\x00\x00\x00\x00\x2a" + b'{"customer": "cust_1"}', [], "avro", '{"_schema_id":42,"customer":"cust_1"}'),
+    (b"\x00\x00\x00\x00\x2a" + b'{"valve": "V3"}', [], "avro", '{"_schema_id":42,"valve":"V3"}'),
     (b"\x00\x00\x00\x00\x2a{ }", [], "avro", '{"_schema_id":42}'),
     (b"\x00\x00\x00\x00\x2a" + b'{"_schema_id":7}', [], "avro", '{"_schema_id":7}'),
     (b"\x00\x00\x00\x00\x2a[1]", [], "avro", '{"_schema_id":42,"content":[1]}'),
@@ -36,8 +36,8 @@ CASES = [
         "avro",
         '{"_schema_id":42,"_wire_format":"confluent-avro","payload_hex":"312c32","payload_length_bytes":3}',
     ),
-    (b"\x01\x00\x00\x00\x2apayload", [], "text", None),
-    (b"short", [], "text", None),
+    (b"\x01\x00\x00\x00\x2awords", [], "text", None),
+    (b"tiny", [], "text", None),
     (b"\x08\x7b", PROTO, "protobuf", '{"tag_1":123}'),
     (b"\x08\x7b", [], "text", None),
     (None, [], "null", None),

@@ -75,13 +75,13 @@ def test_plan(spark, records):
 @pytest.fixture(scope="module")
 def batch(records):
     def doc(total):
-        return b'{"order_id":"o","retryable":true,"total":%d}' % total
+        return b'{"tank":"T","again":true,"total":%d}' % total
 
     return records(
-        dead(10, message="TimeoutException: slow", payload=doc(50)),
-        dead(11, message="JsonParseException: bad", payload=doc(150)),
-        dead(12, 1, message="ConnectionRefusedError: service 503", payload=doc(250)),
-        dead(13, 1, target=None, payload=doc(350)),
+        dead(31, message="TimeoutException: no answer", payload=doc(12)),
+        dead(37, message="JsonParseException: odd brace", payload=doc(130)),
+        dead(44, 2, message="ConnectionRefusedError: gauge 503", payload=doc(180)),
+        dead(52, 2, target=None, payload=doc(640)),
     )
 
 
@@ -93,7 +93,7 @@ def counts(summary):
 def test_batch_counts(batch):
     plan, summary = redrive.redrive_batch(batch, dry_run=True)
     assert counts(summary) == (4, 3, 3, 1, 0) and summary.first().target_topic == "order.events"
-    assert {(r.produced_partition, r.produced_offset) for r in plan.collect()} == {(0, 10), (0, 11), (1, 12)}
+    assert {(r.produced_partition, r.produced_offset) for r in plan.collect()} == {(0, 31), (0, 37), (2, 44)}
     assert counts(redrive.redrive_batch(batch, category="outage")[1]) == (4, 2, 2, 2, 0)
     big = json_num("payload", "$.total") > 100
     assert counts(redrive.redrive_batch(batch, predicate=big)[1]) == (4, 2, 2, 2, 0)
@@ -102,7 +102,7 @@ def test_batch_counts(batch):
 def test_batch_limit(batch):
     plan, summary = redrive.redrive_batch(batch, target="other", limit=1)
     assert counts(summary) == (4, 1, 1, 0, 0) and summary.first().target_topic == "other"
-    assert [(r.topic, r.source_offset, r.produced_offset) for r in plan.collect()] == [("other", 10, None)]
+    assert [(r.topic, r.source_offset, r.produced_offset) for r in plan.collect()] == [("other", 31, None)]
     assert counts(redrive.redrive_batch(batch, category="outage", limit=2)[1]) == (4, 2, 2, 1, 0)
     assert counts(redrive.redrive_batch(batch, category="outage", limit=9)[1]) == (4, 2, 2, 2, 0)
     assert counts(redrive.redrive_batch(batch.filter("false"))[1])[:2] == (0, 0)

@@ -10,14 +10,14 @@ from topicwise.operators.filters import dlq_only, filter_events, keyword_filter
 @pytest.fixture(scope="module")
 def orders(records):
     return records(
-        ("order.events", 0, 1, 1, b"ord_1", b'{"currency":"USD","total_amount":150}', []),
-        ("order.events", 0, 2, 1, b"ord_2", b'{"currency":"USD","total_amount":50}', []),
-        ("order.events", 0, 3, 1, b"ord_3", b'{"currency":"EUR","total_amount":200}', []),
-        ("order.events", 0, 4, 1, b"ord_4", b'{"order_id":"o","status":"CANCELLED"}', []),
-        ("order.events", 0, 5, 1, b"ord_FAIL_99", b'{"order_id":"o"}', []),
-        ("order.events", 0, 6, 1, b"ord_6", b"plain", [("x-error", b"FAILED_VALIDATION")]),
-        ("order.events", 0, 7, 1, b"ord_7", b'{"currency":"USD","total_amount":"150.5"}', []),
-        ("order.events", 0, 8, 1, b"ord_special_1", b'{"currency":"EUR","flag":0}', []),
+        ("tank.log", 0, 1, 1, b"tk_1", b'{"unit":"litre","volume":31}', []),
+        ("tank.log", 0, 2, 1, b"tk_2", b'{"unit":"litre","volume":7}', []),
+        ("tank.log", 0, 3, 1, b"tk_3", b'{"unit":"gallon","volume":44}', []),
+        ("tank.log", 0, 4, 1, b"tk_4", b'{"tank":"t","state":"VOIDED"}', []),
+        ("tank.log", 0, 5, 1, b"tk_FAIL_41", b'{"tank":"t"}', []),
+        ("tank.log", 0, 6, 1, b"tk_6", b"plain", [("x-error", b"FAILED_SEAL")]),
+        ("tank.log", 0, 7, 1, b"tk_7", b'{"unit":"litre","volume":"31.5"}', []),
+        ("tank.log", 0, 8, 1, b"tk_special_8", b'{"unit":"gallon","flag":0}', []),
     )
 
 
@@ -30,20 +30,20 @@ def test_no_rule_keeps_all(orders):
 
 
 def test_predicate(orders):
-    usd = (json_text("payload", "$.currency") == "USD") & (json_num("payload", "$.total_amount") > 100)
-    assert offsets(filter_events(orders, usd)) == [1]
+    litre = (json_text("payload", "$.unit") == "litre") & (json_num("payload", "$.volume") > 20)
+    assert offsets(filter_events(orders, litre)) == [1]
     assert offsets(filter_events(orders, "headers['x-error'] IS NOT NULL")) == [6]
-    assert filter_events(orders, usd).columns == orders.columns
+    assert filter_events(orders, litre).columns == orders.columns
 
 
 def test_regex_in_payload_key_and_header(orders):
-    assert offsets(filter_events(orders, regex="fail|CANCELLED")) == [4, 5, 6]
+    assert offsets(filter_events(orders, regex="fail|VOIDED")) == [4, 5, 6]
     assert offsets(filter_events(orders, regex="x-error:failed")) == [6]
 
 
 def test_both_rules(orders):
-    eur = json_text("payload", "$.currency") == "EUR"
-    assert offsets(filter_events(orders, eur, "special")) == [8]
+    gallon = json_text("payload", "$.unit") == "gallon"
+    assert offsets(filter_events(orders, gallon, "special")) == [8]
 
 
 def test_truthiness(spark):
@@ -59,7 +59,7 @@ def test_predicate_on_scalar_value(records):
 
 
 def test_keyword_and_dlq(orders):
-    assert offsets(keyword_filter(orders, "CURRENCY\":\"eur")) == [3, 8]
+    assert offsets(keyword_filter(orders, "UNIT\":\"gallon")) == [3, 8]
     assert offsets(keyword_filter(orders, "")) == list(range(1, 9))
     assert offsets(dlq_only(orders)) == []
 

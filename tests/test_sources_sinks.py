@@ -46,7 +46,7 @@ def test_stored_log(spark, records):
 @pytest.fixture
 def five(records):
     return records(*[
-        ("test.topic", 0, i, 1_700_000_000_000 + 100 * i, f"key_{i}".encode(), b'{"count": %d}' % i, [("x-source", b"t")])
+        ("tide.gauges", 0, i, 1_650_000_000_000 + 100 * i, f"g{i}".encode(), b'{"level": %d}' % i, [("x-source", b"t")])
         for i in range(5)
     ])
 
@@ -57,7 +57,7 @@ def test_session_round_trip(spark, five, tmp_path):
     assert sessions.write_session(five, path, recorded_ms=F.col("timestamp_ms")) == 5
     rows = read_session(spark, path).orderBy("offset").collect()
     assert [(r.offset, r.timestamp, r.key, r.headers) for r in rows] == [
-        (i, 1_700_000_000_000 + 100 * i, f"key_{i}", {"x-source": "t"}) for i in range(5)
+        (i, 1_650_000_000_000 + 100 * i, f"g{i}", {"x-source": "t"}) for i in range(5)
     ]
     plan = publish.replay_plan(read_session(spark, path), target="copy", speed=2.0).orderBy("offset").collect()
     assert [round(r.delay_s, 6) for r in plan] == [0, 0.05, 0.05, 0.05, 0.05]
@@ -65,7 +65,7 @@ def test_session_round_trip(spark, five, tmp_path):
     assert {r.topic for r in plan} == {"copy"} and all(r.published for r in plan)
     assert set(plan[0].headers) == {"x-source", "x-replayed-by", "x-replay-source-file"}
     still = publish.replay_plan(read_session(spark, path), speed=0.0, dry_run=True).collect()
-    assert {(r.delay_s, r.topic, r.published) for r in still} == {(0.0, "test.topic", False)}
+    assert {(r.delay_s, r.topic, r.published) for r in still} == {(0.0, "tide.gauges", False)}
 
 
 def test_session_reader(spark, tmp_path):

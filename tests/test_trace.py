@@ -11,39 +11,39 @@ from topicwise.operators.sequence import follow, running_delay
 @pytest.fixture(scope="module")
 def lifecycle(records):
     return records(
-        ("payment.events", 0, 20, 1200, b"p", b'{"event_type":"OrderPaid","order_id":"ord_123"}', []),
-        ("order.events", 0, 10, 1000, b"o", b'{"event_type":"OrderCreated","order_id":"ord_123"}', []),
-        ("unrelated.topic", 0, 55, 1050, b"u", b'{"event_type":"Other","order_id":"ord_999"}', []),
-        ("order.events.dlq", 0, 5, 1350, b"d", b'{"order_id":"ord_123"}', [("x-exception-message", b"SKU out of stock, sorry")]),
+        ("meter.bills", 2, 31, 7450, b"p", b'{"event_type":"BillSent","order_id":"run_77k"}', []),
+        ("meter.reads", 1, 14, 7000, b"o", b'{"event_type":"ReadTaken","order_id":"run_77k"}', []),
+        ("weather", 0, 8, 7100, b"u", b'{"event_type":"Rain","order_id":"run_12z"}', []),
+        ("meter.bills.dlq", 3, 2, 7525, b"d", b'{"order_id":"run_77k"}', [("x-exception-message", b"tariff table is gone since May")]),
     )
 
 
 def test_hops_and_summary(lifecycle):
-    hops = trace.trace_hops(lifecycle, "ORD_123")
+    hops = trace.trace_hops(lifecycle, "RUN_77K")
     rows = hops.orderBy("step").collect()
     assert [(r.topic, r.latency_ms, r.status) for r in rows] == [
-        ("order.events", None, "OK"), ("payment.events", 200.0, "OK"), ("order.events.dlq", 150.0, "DLQ_POISON"),
+        ("meter.reads", None, "OK"), ("meter.bills", 450.0, "OK"), ("meter.bills.dlq", 75.0, "DLQ_POISON"),
     ]
     total = trace.trace_summary(hops).first()
-    assert (total.hops, total.total_latency_ms, total.has_dlq) == (3, 350.0, True)
-    assert total.topics == ["order.events", "payment.events", "order.events.dlq"]
+    assert (total.hops, total.total_latency_ms, total.has_dlq) == (3, 525.0, True)
+    assert total.topics == ["meter.reads", "meter.bills", "meter.bills.dlq"]
     shown = {r.step: (r.position, r.event, r.delta, r.status) for r in views.hop_view(hops).collect()}
-    assert shown[1] == ("0:10", "OrderCreated", "START", "SUCCESS")
-    assert shown[3] == ("0:5", "SKU out of stock, so", "+150 ms", "POISON (DLQ)")
+    assert shown[1] == ("1:14", "ReadTaken", "START", "SUCCESS")
+    assert shown[3] == ("3:2", "tariff table is gone", "+75 ms", "POISON (DLQ)")
 
 
 def test_matching(records):
     rows = records(
-        ("t", 0, 1, 1, None, b"x", [("x-correlation-id", b"req-99128-abc")]),
-        ("t", 0, 2, 1, None, b'{"order_id":"ord_5521","amount":49.99}', []),
-        ("t", 0, 3, 1, None, b'{"order_id":5521,"customer_id":null}', []),
-        ("t", 0, 4, 1, None, b'["ord_5521"]', [("X-Correlation-Id", b"99128")]),
+        ("t", 0, 1, 1, None, b"x", [("x-correlation-id", b"call-40417-q")]),
+        ("t", 0, 2, 1, None, b'{"order_id":"run_8830","litres":3}', []),
+        ("t", 0, 3, 1, None, b'{"order_id":8830,"customer_id":null}', []),
+        ("t", 0, 4, 1, None, b'["run_8830"]', [("X-Correlation-Id", b"40417")]),
     )
 
     def hit(correlation_id):
         return sorted(r.offset for r in rows.filter(trace.matches_correlation(correlation_id)).collect())
 
-    assert hit("99128") == [1] and hit("5521") == [2, 3] and hit("unknown-id") == [] and hit("none") == []
+    assert hit("40417") == [1] and hit("8830") == [2, 3] and hit("nobody") == [] and hit("none") == []
 
 
 def test_total_needs_two_known_times(records):
