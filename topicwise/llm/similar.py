@@ -46,7 +46,7 @@ def connect(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
 
 
 def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of a neighbourhood (hub, id)."""
+    """Links between the components of each neighbourhood (hub, id), as pairs of components."""
     named = stage(_named(around, labels).join(sizes, "id").select("hub", "id", "component", "n"), "neighbourhoods-named")
     parts = named.groupBy("hub", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
     # For each neighbourhood of several components: the largest of them, and how many blocks each side needs.
@@ -74,7 +74,7 @@ def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, s
 
 
 def _links_of_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Similar pairs of sets of different components, one of each block: sizes of intersections by matrix products."""
+    """Components that similar sets connect, one set of each block: sizes of intersections by matrix products."""
     both = [np.asarray(x, "int64") for x in (*left["items"], *right["items"])]
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -93,7 +93,22 @@ def _links_of_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> p
     similar = 100 * common >= percent * (sizes[:k, None] + sizes[None, k:] - common)
     similar &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
     a, b = np.nonzero(similar)
-    return pd.DataFrame({"a": left["id"].to_numpy()[a], "b": right["id"].to_numpy()[b]})
+    joined = np.unique(np.stack([left["component"].to_numpy()[a], right["component"].to_numpy()[b]], axis=1), axis=0)
+    # A spanning forest of the components says as much as all links: fewer rows than there are sets.
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    forest = []
+    for x, y in joined.tolist():
+        if top(x) != top(y):
+            root[top(y)] = top(x)
+            forest.append((x, y))
+    return pd.DataFrame(forest, columns=["a", "b"], dtype="int64")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
