@@ -43,6 +43,14 @@ def test_stored_log(spark, records):
     assert [r.offset for r in lookup(rows, wanted).collect()] == [7]
 
 
+def test_key_file_goes_inline(tmp_path):
+    (tmp_path / "c.pem").write_text("CERT")
+    (tmp_path / "k.pem").write_text("KEY")
+    options = KafkaConfig(ssl_certfile=str(tmp_path / "c.pem"), ssl_keyfile=str(tmp_path / "k.pem")).options()
+    assert (options["kafka.ssl.keystore.certificate.chain"], options["kafka.ssl.keystore.key"]) == ("CERT", "KEY")
+    assert "kafka.ssl.keystore.location" not in options
+
+
 @pytest.fixture
 def five(records):
     return records(*[

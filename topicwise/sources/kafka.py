@@ -23,6 +23,7 @@ class KafkaConfig:
     sasl_password: str | None = None
     ssl_cafile: str | None = None
     ssl_certfile: str | None = None
+    ssl_keyfile: str | None = None
     request_timeout_ms: int = 15_000
 
     @classmethod
@@ -45,7 +46,14 @@ class KafkaConfig:
             found["kafka.sasl.jaas.config"] = self._login()
         if self.ssl_cafile:
             found |= {"kafka.ssl.truststore.type": "PEM", "kafka.ssl.truststore.location": self.ssl_cafile}
-        if self.ssl_certfile:
+        if self.ssl_certfile and self.ssl_keyfile:
+            # A key file of its own goes inline, with its certificates; Kafka wants it as PKCS #8.
+            found |= {
+                "kafka.ssl.keystore.type": "PEM",
+                "kafka.ssl.keystore.certificate.chain": Path(self.ssl_certfile).read_text(encoding="ascii"),
+                "kafka.ssl.keystore.key": Path(self.ssl_keyfile).read_text(encoding="ascii"),
+            }
+        elif self.ssl_certfile:
             found |= {"kafka.ssl.keystore.type": "PEM", "kafka.ssl.keystore.location": self.ssl_certfile}
         return found
 
