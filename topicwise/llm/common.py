@@ -9,6 +9,8 @@ from topicwise.session import scratch_dir
 
 #: Rows of a join side that may be broadcast; each has a few short fields, so that side stays under about 30 MB.
 BROADCAST_ROWS = 200_000
+#: Bits of the table that holds back rows before a shuffle: 8 MB.
+BITMAP_BITS = 1 << 26
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +25,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose hash ``key`` is not in ``keys``: what passes has still to be joined.
+
+    A bit per key, in a table of ``BITMAP_BITS`` bits that is broadcast whatever the number of keys; the fuller it gets, the
+    less it holds back.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(BITMAP_BITS))
+    part, bit = F.shiftright(place(key), 15), place(key).bitwiseAND(F.lit(32767))
+    bits = keys.select(part.alias("_part"), bit.alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), part == F.col("_part"))
+    return found.filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0).select(*rows.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII texts take the fast way."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.llm.common import stage
+from topicwise.llm.common import maybe_among, stage
 from topicwise.llm.similar import connect
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +93,9 @@ def near_duplicates(
     def sets_of(ids: DataFrame) -> DataFrame:
         """Sets of classes, from the text of one of their rows."""
         wanted = classes.join(ids, "id").select("id", F.col("row.doc").alias("d"), F.col("row.text_hash").alias("h"), "k1", "k2")
-        texts = source.join(stage(wanted, "wanted"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+        wanted = stage(wanted, "wanted")
+        few = maybe_among(source, "text_hash", wanted.select(F.col("h").alias("text_hash")))
+        texts = few.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
         return _sets(texts, words).dropDuplicates(["id"])
 
     found = connect(tables, sets_of, percent)

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from topicwise.llm.common import stage
 from topicwise.llm.graph import components, lookup
 
-#: Items of the sets of a block, on average; two blocks are compared in one task.
-BLOCK_ITEMS = 60_000
+#: Sets of a block and their items, at most on average; two blocks are compared in one task.
+BLOCK_SETS = 2000
+BLOCK_ITEMS = 400_000
 #: Distinct items that are counted in one matrix product.
-COLUMNS = 8192
+COLUMNS = 4096
 
 
 def connect(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -51,24 +52,33 @@ def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, s
     parts = named.groupBy("hub", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
     # For each neighbourhood of several components: the largest of them, and how many blocks each side needs.
     largest = F.max(F.struct("sets", "component", "items"))
-    mixed = parts.groupBy("hub").agg(largest.alias("top"), F.sum("items").alias("items"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda items: F.ceil(items / BLOCK_ITEMS).cast("int")
+    mixed = parts.groupBy("hub").agg(
+        largest.alias("top"), F.sum("sets").alias("sets"), F.sum("items").alias("items"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    blocks = lambda sets, items: F.ceil(F.greatest(sets / BLOCK_SETS, items / BLOCK_ITEMS)).cast("int")
     mixed = stage(
         mixed.select(
-            "hub", F.col("top.component").alias("largest"), blocks(F.col("items")).alias("all_blocks"),
-            blocks(F.col("items") - F.col("top.items")).alias("other_blocks"),
+            "hub", F.col("top.component").alias("largest"), blocks(F.col("sets"), F.col("items")).alias("all_blocks"),
+            blocks(F.col("sets") - F.col("top.sets"), F.col("items") - F.col("top.items")).alias("other_blocks"),
         ),
         "neighbourhoods-mixed",
     )
-    inside = lookup(named.withColumnRenamed("hub", "h"), "h", mixed, "hub")
-    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = inside.filter("component <> largest").select("h", "id", "component", F.lit(True).alias("left"), own("other_blocks").alias("i"), each("all_blocks").alias("j"))
-    right = inside.select("h", "id", "component", F.lit(False).alias("left"), each("other_blocks").alias("i"), own("all_blocks").alias("j"))
-    dealt = left.unionByName(right).join(sets, "id")
+    inside = lookup(named.withColumnRenamed("hub", "h"), "h", mixed, "hub").select(
+        "h", "id", "component", "largest", "other_blocks", "all_blocks",
+        F.pmod(F.xxhash64("id"), "other_blocks").cast("int").alias("x"), F.pmod(F.xxhash64("id"), "all_blocks").cast("int").alias("y"),
+    )
+    # Task (i, j) compares block i of the others with block j of all. A set that is on both sides there goes there once.
+    cells = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+    right = cells("other_blocks", lambda i: F.struct(i.alias("i"), F.col("y").alias("j")))
+    left = cells("all_blocks", lambda j: F.struct(F.col("x").alias("i"), j.alias("j")))
+    other = F.col("component") != F.col("largest")
+    dealt = inside.select("*", F.explode(F.when(other, F.array_union(left, right)).otherwise(right)).alias("cell"))
+    dealt = dealt.select(
+        "h", "id", "component", "cell.i", "cell.j", (other & (F.col("cell.i") == F.col("x"))).alias("left"), (F.col("cell.j") == F.col("y")).alias("right")
+    ).join(sets, "id")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        return _links_of_blocks(group[group["left"]], group[~group["left"]], percent)
+        return _links_of_blocks(group[group["left"]], group[group["right"]], percent)
 
     return stage(dealt.groupBy("h", "i", "j").applyInPandas(links, "a bigint, b bigint").distinct(), "links-verified")
 
