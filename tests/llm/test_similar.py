@@ -65,6 +65,42 @@ def test_paragraphs(spark):
     assert after[1] == rows[0][1] and after[8] == "" and after[9] == "" and after[4] is None and after[10] == rows[6][1]
     assert after[2] == "\n".join(rows[1][1].split("\n")[::2])
 
+def test_passages(spark):
+    rng = random.Random(15)
+    one, two, near = (words(rng, n).split() for n in (60, 70, 49))
+    join = " ".join
+    rows = [
+        (1, f"{words(rng, 90)} {join(one)} {words(rng, 80)}"),  # inside a longer line
+        (2, f"{words(rng, 200)} {join(one).upper()} {words(rng, 100)}"),
+        (3, f"{words(rng, 100)} {join(two[:35])}\n{join(two[35:])} {words(rng, 100)}"),  # across a line end
+        (4, f"{words(rng, 150)} {join(two[:30])}  {join(two[30:])} {words(rng, 60)}\n{words(rng, 3)}"),
+        (5, "\n".join(join(one[i : i + 6]) for i in range(0, 60, 6)) + "\n" + words(rng, 30)),  # of short lines
+        (6, f"{words(rng, 60)} {join(near)} {words(rng, 60)}"),  # a word short
+        (7, f"{words(rng, 60)} {join(near)} {words(rng, 60)}"),
+        (8, f"{join(two)} {words(rng, 9)} {join(two)} {join(one[:55])}"),
+        (9, "the " * 300),  # repeats itself with overlaps
+        (None, f"{words(rng, 30)} {join(two[5:])} x"),
+        *texts()[4:7],
+    ]
+    rows += [rows[1]]  # the same row again is the same document
+    docs = frame(spark, rows)
+    found = paragraphs.repeated_paragraphs(docs)
+    after = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in paragraphs.without_repeats(docs, found).collect()), key=repr)
+
+    seen, expected = {}, {}
+    for i, (doc, text) in enumerate(rows[:10]):
+        have = (text or "").lower().split()
+        gone = set()
+        for p in range(len(have) - 49):
+            of, q = seen.setdefault(tuple(have[p : p + 50]), (i, p))
+            if of != i or p >= q + 50:
+                gone.update(range(p, p + 50))
+        expected[i] = (doc, [w for p, w in enumerate(have) if p not in gone])
+    expected = [*expected.values(), expected[1], *((doc, []) for doc, _ in texts()[4:7])]
+    assert after == sorted(expected, key=repr)
+    kept = {(r["doc"], r["cluster_doc"]) for r in found.filter("kept").collect()}
+    assert kept == {(1, 1), (3, 3), (9, 9)}
+
 
 def test_vectors(spark):
     rng = np.random.default_rng(6)
