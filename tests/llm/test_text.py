@@ -76,6 +76,24 @@ def test_main_text(spark):
     assert maintext.main_text(frame(spark, [], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_main_text_of_copies(spark):
+    rng = random.Random(12)
+    menu, legal = words(rng, 15), words(rng, 12)
+    story = [words(rng, 80) for _ in range(5)]
+    page = "<body><div>{}</div><div><p>{}</p><p>{}</p></div><div>{}</div></body>"
+    whole = lambda s, n="": page.format(menu, s, f"seen {n}", legal)
+    rows = [(1, "http://a.com/1", whole(story[0])), (2, "http://m.a.com/1", whole(story[0])), (3, "http://www.a.com/1?from=x", whole(story[0]) + " ")]
+    rows += [(4, "http://a.com/2?n=4", whole(story[1], "once")), (5, "http://a.com/2?n=5", whole(story[1], "twice")), (6, "http://a.com/3", whole(story[2]))]
+    rows += [(7, "http://b.com/1", whole(story[3])), (8, "http://b.com/1?y", whole(story[3]))]  # nothing but copies
+    rows += [(20 + i, f"http://a.com/copy{i}", whole(story[4], i)) for i in range(30)]
+    got = {r["page_id"]: r["text"].split("\n") for r in maintext.main_text(frame(spark, rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    of = {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 2} | {20 + i: 4 for i in range(30)}
+    for i, s in of.items():
+        assert story[s] in got[i] and menu not in got[i] and legal not in got[i]
+    assert got[7] == got[8] == [menu, story[3], "seen", legal]
+
+
 @pytest.mark.parametrize("split", ["128m", "1k"])
 def test_archive(spark, tmp_path, split):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
