@@ -76,6 +76,22 @@ def test_main_text(spark):
     assert maintext.main_text(frame(spark, [], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_wrappers_named_after_parts():
+    text = lambda page: [t for _, t in maintext.blocks(page)]
+    for name in ("layout with-sidebar", "post comments-open share", "content has-ads", "noSidebar", "menu-open", "ad-free", "sidebar-layout"):
+        assert text(f"<div class='{name}'><p>told</p></div>") == ["told"]
+    assert text("<div id='content-no-sidebar'><article><p>told</p></article></div>") == ["told"]
+    for name in ("share", "site-header", "search-wrapper", "notice"):  # the wrapper goes, the article in it stays
+        assert maintext.blocks(f"<div class='{name}'><p>no</p><article><p>told</p></article><p>no</p></div>") == [(False, "told")]
+    assert text("<form><p>no</p><main>told<aside>no</aside></main></form>") == ["told"]
+    for name in ("comments", "comment-list", "left-sidebar", "widget-area", "relatedPosts", "share comments", "post sidebar", "ad"):
+        assert text(f"<div class='{name}'><article><p>no</p></article></div>") == []
+    for name in ("nav-primary", "main-menu", "cookie-notice", "mainNav", "pagination", "share"):
+        assert text(f"<div class='{name}'><p>no</p></div>") == []
+    assert text("<aside><article>no</article></aside><div hidden><main>no</main></div><nav><article>no</article></nav>") == []
+    assert text("<div class='share'><div class='comments'><article class='comment'>no</article></div></div>") == []
+
+
 def test_main_text_of_copies(spark):
     rng = random.Random(12)
     menu, legal = words(rng, 15), words(rng, 12)
