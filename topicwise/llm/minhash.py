@@ -68,6 +68,7 @@ def near_duplicates(
     groups: int = 12,
     rows: int = 3,
     seed: int = 11,
+    with_group: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -76,7 +77,8 @@ def near_duplicates(
     A pair at exactly ``percent`` 80 meets in one of groups^2 = 144 tables with probability (1 - (1 - 0.8^3)^12)^2 = 0.9996,
     a pair at 90 practically always. ``component_id`` is the smallest id reachable by links; null and empty texts link with
     nothing. Repeated rows get the same result each. A component of null ids only has a null id; ``kept`` compares
-    null-safely. Other columns are ignored.
+    null-safely. Other columns are ignored. ``with_group`` adds ``group``, a number of the component that does not depend on ids
+    (null without words).
     """
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -102,7 +104,7 @@ def near_duplicates(
     named = classes.join(found, "id", "left").select("k1", "k2", "smallest", F.coalesce("component", "id").alias("component"))
     named = stage(named, "classes-named")
     heads = named.groupBy("component").agg(F.min("smallest").alias("head"))
-    result = named.join(heads, "component").select("k1", "k2", "head")
+    result = named.join(heads, "component").select("k1", "k2", "head", F.col("component").alias("group"))
     out = signed.join(result, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc"))
     return out.select(
@@ -111,6 +113,7 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc").eqNullSafe(component).alias("kept"),
+        *(["group"] if with_group else []),
     )
 
 
