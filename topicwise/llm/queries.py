@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, lattice, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, lattice, licences, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
 from topicwise.llm.common import read
 
 
@@ -115,6 +115,28 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def licences_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = licences.scan(docs, licences.templates(spark))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"),
+        "score",
+    )
+
+
+LICENCE_VALUES = ", ".join(
+    f"({i}, '{label}', string_split(replace('{text}', '.', ' '), ' '), {share}, {whole})"
+    for i, (label, text, share, whole) in enumerate(
+        [(*p, 1.0, "true") for p in licences.PHRASES] + [(*n, licences.CONTAINMENT, "false") for n in licences.NOTICES]
+    )
+)
+
 QUERIES = {
     "op1_main_text_suffixes": main_texts,
     "op2_pack_concatenate_cut": packed,
@@ -126,6 +148,7 @@ QUERIES = {
     "op8_toxicity_subwords": scored,
     "op9_warc_boundary_chain": archived,
     "op10_token_orc": token_files,
+    "op11_license_containment": licences_found,
 }
 
 ORACLE = {
@@ -171,4 +194,22 @@ ORACLE = {
                CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM p LEFT JOIN m USING (d)""",
+    "op11_license_containment": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), []) AS w FROM documents),
+        t AS (SELECT template, label, p, whole, len(p) AS k, len(list_distinct(p)) AS m,
+                     greatest(ceil(share * len(list_distinct(p)) - 1e-9), 1) AS need
+              FROM (VALUES @VALUES@) AS t(template, label, p, share, whole)),
+        b AS (SELECT doc_id, label, whole, p, k, w, b, len(list_distinct(list_intersect(w[b * k + 1:b * k + 2 * k - 1], p))) AS n, m
+              FROM (FROM d, t WHERE len(list_intersect(list_distinct(w), p)) >= need), unnest(range(0, len(w) // k + 1)) AS u(b)
+              WHERE len(list_intersect(w[b * k + 1:b * k + 2 * k - 1], p)) >= need),
+        f AS (SELECT doc_id, label, whole, n / m AS share, CASE WHEN whole THEN
+                     list_filter(range(b * k, b * k + k), lambda i: w[i + 1:i + k] = p) ELSE [] END AS places FROM b),
+        g AS (SELECT doc_id, sum(len(places)) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole) AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+              FROM f WHERE NOT whole OR len(places) > 0 GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN g USING (doc_id)""".replace("@VALUES@", LICENCE_VALUES),
 }
