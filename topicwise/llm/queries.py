@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, lattice, licences, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, warc
+from topicwise.llm import decontaminate, lattice, licences, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, variants, warc
 from topicwise.llm.common import read
 
 
@@ -130,6 +130,16 @@ def licences_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs(read(spark, sf_dir, "documents").select("doc_id", "text"), at_least=6)
+    code = F.crc32(F.concat(F.coalesce(F.col("doc").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = F.pmod(code, F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(code % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    rows = variants.variants(variants.vocabulary(words, at_least=5, min_length=6), ratio=5)
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 LICENCE_VALUES = ", ".join(
     f"({i}, '{label}', string_split(replace('{text}', '.', ' '), ' '), {share}, {whole})"
     for i, (label, text, share, whole) in enumerate(
@@ -149,6 +159,7 @@ QUERIES = {
     "op9_warc_boundary_chain": archived,
     "op10_token_orc": token_files,
     "op11_license_containment": licences_found,
+    "op12_spelling_sorted_list": spelling_variants,
 }
 
 ORACLE = {
@@ -212,4 +223,24 @@ ORACLE = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
         FROM d LEFT JOIN g USING (doc_id)""".replace("@VALUES@", LICENCE_VALUES),
+    "op12_spelling_sorted_list": r"""
+        WITH RECURSIVE c AS (SELECT list(list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i) ORDER BY i) AS t
+              FROM range(256) AS r(i)),
+        d AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        g AS (SELECT doc_id, w, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM d WHERE length(w) >= 6 GROUP BY ALL),
+        b AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS y FROM g),
+        h AS (SELECT w, n, xor(list_reduce(y, lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1]), 4294967295), 4294967295) AS h FROM b, c),
+        o AS (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        x AS (SELECT word, i, word[1:i] || word[i + 2:] AS s FROM v, unnest(range(length(word))) AS t(i)),
+        p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b USING (i, s) WHERE a.word <> b.word
+              UNION SELECT x.word, v.word FROM x JOIN v ON x.s = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.s = v.word),
+        k AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r
+              FROM p JOIN v ON b = word),
+        f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN k.n >= 5 * v.n THEN b END AS form,
+                     CASE WHEN k.n >= 5 * v.n THEN k.n END AS form_n FROM v LEFT JOIN k ON a = word AND r = 1),
+        z AS (SELECT word, word AS root, form FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.form)
+        SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.word = z.word AND z.form IS NULL""",
 }
