@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwise.llm import decontaminate, lattice, licences, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, variants, warc
+from topicwise.llm import alignment, decontaminate, lattice, licences, maintext, minhash, packing, paragraphs, shards, tokenfile, toxicity, variants, warc
 from topicwise.llm.common import read
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +140,11 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 LICENCE_VALUES = ", ".join(
     f"({i}, '{label}', string_split(replace('{text}', '.', ' '), ' '), {share}, {whole})"
     for i, (label, text, share, whole) in enumerate(
@@ -160,6 +165,7 @@ QUERIES = {
     "op10_token_orc": token_files,
     "op11_license_containment": licences_found,
     "op12_spelling_sorted_list": spelling_variants,
+    "op13_align_perfect_hash": aligned,
 }
 
 ORACLE = {
