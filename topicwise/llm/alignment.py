@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 import sys
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from topicwise.llm.common import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Units that a worker keeps, in two generations of this size; longer units are aligned each time.
-KEPT_UNITS = 100_000
+KEPT_UNITS = 150_000
 KEPT_LENGTH = 64
 #: Pairs that a task counts before it hands them on.
 TASK_PAIRS = 500_000
@@ -52,17 +55,21 @@ SPACE = "▁"
 TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-class Unit:
-    """Alignment of one unit: token counts, groups as text, and the different linked pairs (a << 32 | b) with how often each is.
+class Links(NamedTuple):
+    """Tokens and links of some units, end to end in the order of the units; ``upto_*`` are the places after each unit's last."""
 
-    ``totals`` (see ``TOTALS``) and ``rest``, pairs whose count is not at hand, hold for the counts of ``run``.
-    """
-
-    __slots__ = ("sizes", "groups", "pairs", "times", "run", "totals", "rest")
+    sizes: list[tuple[int, int, int]]  # A tokens, B tokens, groups of each unit
+    upto_token: list[int]
+    signs: np.ndarray  # of all tokens, each group's A side before its B side: text of the id with the sign that follows
+    upto_link: np.ndarray
+    pairs: np.ndarray  # of all links: a << 32 | b
 
-    def __init__(self, sizes: tuple[int, int, int], groups: str, pairs: tuple[int, ...], times: tuple[int, ...]):
-        self.sizes, self.groups, self.pairs, self.times = sizes, groups, pairs, times
-        self.run = self.totals = self.rest = None
+    def groups(self) -> list[str]:
+        signs, start, out = self.signs.tolist(), 0, []
+        for end in self.upto_token:
+            out.append("".join(signs[start:end])[:-1])
+            start = end
+        return out
 
 
 class Aligner:
@@ -82,8 +89,18 @@ class Aligner:
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.new: dict[str, Unit | None] = {}
-        self.old: dict[str, Unit | None] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in sizes], np.int64) for sizes in (self.bytes_a, self.bytes_b))
+        # Ids as text, with the sign that follows inside a side of a group and at its end.
+        self.text_a = np.array([[f"{i}," for i in range(len(self.bytes_a))], [f"{i}|" for i in range(len(self.bytes_a))]], object)
+        self.text_b = np.array([[f"{i}," for i in range(len(self.bytes_b))], [f"{i};" for i in range(len(self.bytes_b))]], object)
+        self.run = None
+
+    def start(self, run: str) -> None:
+        """Forget what was kept for another run."""
+        if self.run != run:
+            self.run = run
+            self.new: dict[str, object] = {}
+            self.old: dict[str, object] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -93,8 +110,8 @@ class Aligner:
         """Units of a space and the text; None for a text without tokens: empty, or with a character that reads back as a space."""
         return None if not text or SPACE in text else UNIT.split(f" {text}")
 
-    def learn(self, texts: list[list[str] | None]) -> None:
-        """Align the units of a batch that are not known yet."""
+    def learn(self, texts: list[list[str] | None], make: Callable[[Links], list]) -> None:
+        """Align the units of a batch that are not known yet, and keep what ``make`` gives for each; None if it does not read back."""
         here = set().union(*filter(None, texts))
         if len(self.new) + len(here) > KEPT_UNITS:
             self.old, self.new = self.new, {}
@@ -104,41 +121,55 @@ class Aligner:
                 self.new[u] = self.old[u]
             else:
                 unknown.append(u)
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            ids_b = self.b.encode([u[1:] for u in part], num_threads=1)
-            for u, a, b in zip(part, ids_a, ids_b):
-                self.new[u] = self._align(u.encode(), a, b)
+        # A unit that ends in white space is cut from the next one by the text's end alone, so it is encoded by itself.
+        alone = [u for u in unknown if u[-1].isspace()]
+        rest = [u for u in unknown if not u[-1].isspace()]
+        for part in [*([u] for u in alone), *(rest[i : i + 8192] for i in range(0, len(rest), 8192))]:
+            self._learn_part(part, make)
+
+    def _learn_part(self, units: list[str], make: Callable[[Links], list]) -> None:
+        """Align units encoded as one text, or, if that does not read back, each by itself."""
+        found = self._align(units)
+        if found:
+            self.new.update(zip(units, make(found)))
+        elif len(units) == 1:
+            self.new[units[0]] = None
+        else:
+            for u in units:
+                self._learn_part([u], make)
 
     def forget_long(self) -> None:
         for u in [u for u in self.new if len(u) > KEPT_LENGTH]:
             del self.new[u]
 
-    def _align(self, data: bytes, ids_a: list[int], ids_b: list[int]) -> Unit | None:
-        bytes_a, bytes_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
+    def _align(self, units: list[str]) -> Links | None:
+        """All of ``units`` at once. Their bytes lie end to end, so a byte offset tells unit and group."""
+        text = "".join(units)
+        data = text.encode()
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text[1:]), np.int64)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
             return None
-        groups, links = [], Counter()
-        i = j = end_a = end_b = 0
-        group_a, group_b = [], []
-        while i < len(ids_a) or j < len(ids_b):
-            if end_a <= end_b and i < len(ids_a):
-                group_a.append(ids_a[i])
-                end_a += len(bytes_a[i])
-                i += 1
-            else:
-                group_b.append(ids_b[j])
-                end_b += len(bytes_b[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
-                counts_b = Counter(group_b).items()
-                for a, n in Counter(group_a).items():
-                    for b, k in counts_b:
-                        links[a << 32 | b] += n * k
-                group_a, group_b = [], []
-        return Unit((len(ids_a), len(ids_b), len(groups)), ";".join(groups), tuple(links), tuple(links.values()))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_group = np.searchsorted(groups, ends)
+        if not (groups[np.minimum(last_group, len(groups) - 1)] == ends).all():
+            return None
+        group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
+        # Texts of the groups: the tokens of each group's A side, then of its B side, each with the sign after it.
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        signs = np.concatenate([self.text_a[last_a.astype(int), a], self.text_b[last_b.astype(int), b]])[order]
+        # Links: each A token with all B tokens of its group.
+        n_b = np.bincount(group_b, minlength=len(groups))
+        width = n_b[group_a]
+        links = np.cumsum(width)
+        nth = np.arange(links[-1]) - np.repeat(links - width, width)
+        pairs = np.repeat(a, width) << 32 | b[np.repeat((np.cumsum(n_b) - n_b)[group_a], width) + nth]
+        upto_a, upto_b = np.searchsorted(ends_a, ends, side="right"), np.searchsorted(ends_b, ends, side="right")
+        sizes = zip(*(np.diff(upto, prepend=0).tolist() for upto in (upto_a, upto_b, last_group + 1)))
+        return Links(list(sizes), (upto_a + upto_b).tolist(), signs, links[upto_a - 1], pairs)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -153,9 +184,10 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, chars: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[list[Unit] | None]]]:
-    """Slices of the batches with the aligned units of their texts (column 0), None for a text without tokens."""
-    tool = aligner(path_a, path_b)
+def _aligned(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], run: str, make: Callable[[Links], list], chars: int = 800_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with what ``make`` gives for the units of their texts (column 0), None for a text without tokens."""
+    tool = aligner(*paths)
+    tool.start(run)
     for batch in batches:
         texts = [t or "" for t in batch.column(0).to_pylist()]
         start = size = 0
@@ -163,15 +195,26 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, chars:
             size += len(t)
             if size >= chars or i == len(texts) - 1:
                 cut = [tool.units(t) for t in texts[start : i + 1]]
-                tool.learn(cut)
-                found = [units and [tool.new[u] for u in units] for units in cut]
+                tool.learn(cut, make)
+                get = tool.new.__getitem__
+                found = [units and list(map(get, units)) for units in cut]
                 yield batch.slice(start, i + 1 - start), [None if not units or None in units else units for units in found]
                 tool.forget_long()
                 start, size = i + 1, 0
 
 
+def _pair_lists(found: Links) -> list[list[int]]:
+    """The linked pairs of each unit."""
+    pairs, start, out = found.pairs.tolist(), 0, []
+    for end in found.upto_link.tolist():
+        out.append(pairs[start:end])
+        start = end
+    return out
+
+
 def pair_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
     """(task, pair, n): documents that hold a linked pair, as far as one task counted; a pair may come again in another row."""
+    run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,9 +227,9 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text
             n = np.fromiter(held.values(), np.int64, len(held))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), task, np.int32)), pa.array(keys), pa.array(n)], ["task", "pair", "n"])
 
-        for _, texts in _aligned(batches, path_a, path_b):
+        for _, texts in _aligned(batches, (path_a, path_b), run, _pair_lists):
             for units in filter(None, texts):
-                held.update(set().union(*{id(u): u.pairs for u in units}.values()))
+                held.update(set(itertools.chain.from_iterable(units)))
                 if len(held) > TASK_PAIRS:
                     yield rows()
                     held.clear()
@@ -380,7 +423,9 @@ def align(
         head = stage(pairs.filter(F.col("n") >= least).select(F.lit(0).alias("task"), "pair", "n"), "frequent-pairs")
         table, buckets = count_table(head)
     held = [(r["bucket"], list(r["sizes"]), bytes(r["bits"]), bytes(r["keys"]), bytes(r["counts"])) for r in table.collect()]
-    tops = {r["a"]: r["best"] for r in best.collect()}
+    highest = best.collect()
+    tops = np.zeros(max((r["a"] for r in highest), default=0) + 1, np.int64)
+    tops[[r["a"] for r in highest]] = [r["best"] for r in highest]
     rows = _measured(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), path_a, path_b, spark.sparkContext.broadcast((held, buckets, tops)), with_groups)
     out = ["doc_id", *TOTALS, "groups_sha256", *(["groups"] if with_groups else [])]
     if not least:
@@ -401,31 +446,23 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, shared, with_groups: bo
     fields = [docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in TOTALS], T.StructField("groups_sha256", T.StringType())]
     fields += [T.StructField("groups", T.StringType()), T.StructField("row", T.StringType()), T.StructField("rest", rest_type)]
 
+    run = uuid.uuid4().hex
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held, buckets, tops = shared.value
-        lookup, run, task, done = Lookup(held, buckets), object(), TaskContext.get().partitionId(), 0
-        for batch, texts in _aligned(batches, path_a, path_b):
-            fresh = list({id(u): u for units in texts if units for u in units if u.run is not run}.values())
-            _count(fresh, lookup, tops, run)
+        lookup, task, done = Lookup(held, buckets), TaskContext.get().partitionId(), 0
+        none = ((0,) * len(TOTALS), "", [])
+        for batch, texts in _aligned(batches, (path_a, path_b), run, lambda found: _counted(found, lookup, tops)):
             totals, digests, groups, rests = [], [], [], []
             for units in texts:
-                if not units:
-                    totals.append((0,) * len(TOTALS))
-                    digests.append("")
-                    groups.append("")
-                    rests.append([])
-                    continue
-                totals.append([sum(column) for column in zip(*[u.totals for u in units])])
-                text = ";".join([u.groups for u in units])
-                digests.append(hashlib.sha256(text.encode()).hexdigest())
+                columns = list(zip(*units)) if units else [[none[i]] for i in range(3)]
+                text = ";".join(columns[1])
+                totals.append([sum(column) for column in zip(*columns[0])])
+                digests.append(hashlib.sha256(text.encode()).hexdigest() if units else "")
                 groups.append(text if with_groups else None)
-                rest: Counter = Counter()
-                for u in units:
-                    if u.rest:
-                        for pair, times in u.rest:
-                            rest[pair] += times
+                rest = Counter(itertools.chain.from_iterable(columns[2]))
                 rests.append([{"pair": p, "times": n} for p, n in rest.items()])
             columns = [pa.array(c, pa.int64()) for c in zip(*totals)]
             names = [f"{task}-{done + i}" for i in range(len(texts))]
@@ -437,16 +474,16 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, shared, with_groups: bo
     return docs.mapInArrow(measure, T.StructType(fields))
 
 
-def _count(units: list[Unit], lookup: Lookup, tops: dict[int, int], run: object) -> None:
-    """Set the totals of ``units`` by the counts of ``lookup``."""
-    keys = np.fromiter((p for u in units for p in u.pairs), np.int64)
-    counts = lookup(keys).tolist()
-    start = 0
-    for u in units:
-        found = counts[start : start + len(u.pairs)]
-        start += len(u.pairs)
-        rows = list(zip(u.pairs, u.times, found))
-        best = sum(times for pair, times, n in rows if n and n == tops[pair >> 32])
-        u.totals = (*u.sizes, sum(u.times), best, sum(times * n for _, times, n in rows))
-        u.rest = [(pair, times) for pair, times, n in rows if not n]
-        u.run = run
+def _counted(found: Links, lookup: Lookup, tops: np.ndarray) -> list[tuple]:
+    """Totals, text of the groups, and links whose count is not at hand, of each unit."""
+    counts = lookup(found.pairs)
+    best = (counts == tops[found.pairs >> 32]) & (counts > 0)
+    upto = found.upto_link
+    sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[upto], prepend=0).tolist() for x in (best, counts)]
+    n_links = np.diff(upto, prepend=0).tolist()
+    rest: list = [()] * len(upto)
+    for at in np.flatnonzero(counts == 0).tolist():
+        unit = int(np.searchsorted(upto, at, side="right"))
+        rest[unit] = (*rest[unit], int(found.pairs[at]))
+    totals = [(*sizes, n, b, c) for sizes, n, b, c in zip(found.sizes, n_links, *sums)]
+    return list(zip(totals, found.groups(), rest))
