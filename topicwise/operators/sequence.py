@@ -3,8 +3,8 @@
 One correlation id may own a third of the log, and a session is a single sequence. A window over such a group
 would run in one task. Here a group is cut into time buckets: a window runs inside each bucket, one summary row per
 bucket carries its last row and its size, and a window over these few summary rows links each bucket to the one
-before. The result equals that of the plain window. The source is read twice, the second time for the keys, the time and the
-offset only.
+before. A bucket with too many rows is cut again, by time and then by offset, so records of one moment are spread too.
+The result equals that of the plain window. Besides the rows themselves, the keys, times and coordinates are read once more.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicwise.session import staged
+
 BUCKET_MS = 60_000
 BUCKET_OFFSETS = 1_000_000
-BUCKET = ("_bucket", "_sub_bucket")
+#: Rows of a bucket that one task puts in order.
+BUCKET_ROWS = 2_000_000
+BUCKET = ("_bucket", "_at", "_sub_bucket")
 ORDER = ("_ts", "offset", "topic", "partition")
 
 
@@ -32,6 +36,7 @@ def with_buckets(df: DataFrame, ts: str, bucket_ms: int) -> DataFrame:
         {
             # Never NULL, and stated so: a join on them needs no NULL test that would be computed at the source.
             "_bucket": F.coalesce(F.when(t > 0, time_bucket + 1).when(t < 0, time_bucket), F.lit(0).cast("bigint")),
+            "_at": F.lit(0).cast("bigint"),
             "_sub_bucket": F.coalesce(
                 F.when(t == 0, F.floor(F.col("offset") / BUCKET_OFFSETS).cast("bigint")), F.lit(0).cast("bigint")
             ),
@@ -46,6 +51,7 @@ def follow(
     prev: str,
     step: str,
     bucket_ms: int | None = BUCKET_MS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the previous row's ``ts`` as ``prev`` and the position in its group, from 1, as ``step``.
 
@@ -61,16 +67,18 @@ def follow(
         ).select(*columns, prev, step)
 
     by_bucket = [*keys, *BUCKET]
+    narrow = with_buckets(df.select(*keys, ts, "offset", "topic", "partition"), ts, bucket_ms)
+    summary = staged(_last_rows(narrow, by_bucket, ts), "buckets")
+    large = summary.filter(F.col("_n") > bucket_rows).select(*[F.col(c).alias(f"_large_{c}") for c in by_bucket])
+    bucketed = with_buckets(df, ts, bucket_ms)
+    if not large.isEmpty():
+        large = staged(large, "large-buckets")
+        small = summary.join(large, [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in by_bucket], "left_anti")
+        bucketed = _cut(bucketed, large, by_bucket)
+        summary = small.unionByName(_last_rows(_cut(narrow, large, by_bucket).filter("_is_large"), by_bucket, ts))
+
     w = Window.partitionBy(*by_bucket).orderBy(*ORDER)
-    inside = with_buckets(df, ts, bucket_ms).withColumns({"_prev_inside": F.lag(ts).over(w), "_nth": F.row_number().over(w)})
-
-    # Numbers only, so rows collapse in hash aggregation before they are shuffled. In a bucket of times the last one is
-    # the largest; in one of missing times and zeros it is known if the row with the largest offset has it.
-    known_to = F.max(F.when(F.col(ts).isNotNull(), F.col("offset")))
-    unknown_to = F.max(F.when(F.col(ts).isNull(), F.col("offset")))
-    last = F.when(unknown_to.isNull() | (known_to > unknown_to), F.max("_ts"))
-    narrow = with_buckets(df.select(*keys, ts, "offset"), ts, bucket_ms)
-    summary = narrow.groupBy(*by_bucket).agg(last.alias("_last"), F.count(F.lit(1)).alias("_n"))
+    inside = bucketed.withColumns({"_prev_inside": F.lag(ts).over(w), "_nth": F.row_number().over(w)})
     ordered = Window.partitionBy(*keys).orderBy(*BUCKET)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     links = summary.select(
@@ -86,6 +94,33 @@ def follow(
     )
 
 
+def _last_rows(narrow: DataFrame, by_bucket: Sequence[str], ts: str) -> DataFrame:
+    """One row per bucket: ``_n`` rows, and ``_last``, the time of the last of them (NULL if it has none).
+
+    In a bucket of times the last one is the largest, so rows collapse in hash aggregation before they are shuffled. Missing
+    times and zeros stand in one bucket; there the full order tells which is last.
+    """
+    counts = narrow.groupBy(*by_bucket).agg(F.max("_ts").alias("_newest"), F.count(F.lit(1)).alias("_n"))
+    place = F.struct("offset", "topic", "partition")
+    untimed = narrow.filter(F.col("_ts") == 0).groupBy(*by_bucket).agg(F.max_by(F.struct(F.col(ts).alias("t")), place).alias("_end"))
+    untimed = untimed.select(*[F.col(c).alias(f"_u_{c}") for c in by_bucket], "_end")
+    found = counts.join(untimed, [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in by_bucket], "left")
+    last = F.when((F.col("_newest") != 0) | F.col("_end").isNull(), F.col("_newest")).otherwise(F.col("_end.t"))
+    return found.select(*by_bucket, last.alias("_last"), "_n")
+
+
+def _cut(rows: DataFrame, large: DataFrame, by_bucket: Sequence[str]) -> DataFrame:
+    """``rows`` with the buckets in ``large`` cut by time and offset, and ``_is_large``.
+
+    ``large`` has at most one row per ``BUCKET_ROWS`` rows; Spark broadcasts it by its measured size.
+    """
+    same = [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in by_bucket]
+    marked = rows.join(large, same, "left").withColumn("_is_large", F.col("_large__bucket").isNotNull())
+    cut = F.floor(F.col("offset") / BUCKET_OFFSETS).cast("bigint")
+    finer = {"_at": F.when(F.col("_is_large"), F.col("_ts")).otherwise(F.col("_at")), "_sub_bucket": F.when(F.col("_is_large"), cut).otherwise(F.col("_sub_bucket"))}
+    return marked.withColumns(finer).drop(*[f"_large_{c}" for c in by_bucket])
+
+
 def running_delay(df: DataFrame, ts: str, delay: Callable[[Column, Column], Column], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Delay to the previous row and its running total over the whole frame, as ``delay_s`` and ``at_s``.
 

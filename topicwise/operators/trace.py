@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from topicwise.functions.payload import json_text, payload_text
 from topicwise.functions.text import non_empty
+from topicwise.operators import matching
 from topicwise.operators.sequence import BUCKET_MS, follow
+from topicwise.session import staged
 
 # Where a correlation id is looked for.
 CORRELATION_HEADERS = ("x-correlation-id", "x-trace-id", "correlation_id", "traceparent", "x-b3-traceid")
@@ -46,7 +48,7 @@ def matches_correlation(correlation_id: str) -> Column:
     return hit
 
 
-def _as_hops(records: DataFrame, correlation_id: Column) -> DataFrame:
+def _as_hops(records: DataFrame, correlation_id: Column, *more: Column) -> DataFrame:
     return records.select(
         correlation_id.alias("correlation_id"),
         "topic",
@@ -60,6 +62,7 @@ def _as_hops(records: DataFrame, correlation_id: Column) -> DataFrame:
         "error_message",
         "headers",
         payload_text().alias("payload_text"),
+        *more,
     )
 
 
@@ -74,8 +77,13 @@ def _with_latency(
 
 def trace_hops(records: DataFrame, correlation_id: str, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Time-ordered hops of the records matching one id, with step, latency since the previous hop and status."""
-    matched = records.filter(matches_correlation(correlation_id))
-    return _with_latency(_as_hops(matched, F.lit(correlation_id)), bucket_ms, keys=())
+    matched = _as_hops(records.filter(matches_correlation(correlation_id)), F.lit(correlation_id))
+    return _with_latency(_found(matched, bucket_ms), bucket_ms, keys=())
+
+
+def _found(hops: DataFrame, bucket_ms: int | None) -> DataFrame:
+    """Hops that a search found, written once: linking reads their keys and times beforehand, and need not search the log again."""
+    return hops if bucket_ms is None else staged(hops, "hops")
 
 
 def trace_all(records: DataFrame, id_expr: Column | str, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
@@ -91,55 +99,56 @@ BROADCAST_CHARS = 8_000_000
 
 
 def pair_with_ids(records: DataFrame, ids: DataFrame, exact: bool = False) -> DataFrame:
-    """Records paired with every id of ``ids(correlation_id)`` that one of their texts contains, or equals if ``exact``.
+    """Records paired with every id of ``ids(correlation_id)`` that one of their texts contains, or equals if ``exact``."""
+    return _paired(records.withColumn("_texts", _lower_texts()), ids, exact).select(*records.columns, "correlation_id")
 
-    A substring search as an equi-join: each record offers the substrings of its texts that have the length of some
-    id, and those are joined with the ids. No record is compared with every id.
 
-    One small job first measures the ids. Up to the limits above they are broadcast. Beyond, only coordinates and
-    substrings are shuffled, and the records are joined to the pairs found.
-    """
-    wanted = ids.select("correlation_id", F.lower("correlation_id").alias("_text")).filter("_text <> ''").distinct()
-    size = wanted.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("chars"),
-        F.collect_set(F.length("_text")).alias("lengths"),
-    ).first()
+def _lower_texts() -> Column:
+    return F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
+
 
-    texts = F.array_distinct(F.array_compact(F.array(*[F.lower(t) for t in searched_texts()])))
-    offered = texts if exact else F.array_distinct(F.flatten(F.transform(texts, lambda t: _substrings(t, size.lengths))))
+def _paired(rows: DataFrame, ids: DataFrame, exact: bool) -> DataFrame:
+    """Rows with ``_texts`` (and the coordinates) paired with the ids.
+
+    An equi-join: each row offers its texts, or for a substring search the windows of its texts that some id may be filed
+    under (see ``operators.matching``). No row is compared with every id, and the plan does not grow with the ids' lengths.
+
+    Small jobs first measure the ids. Up to the limits above they are broadcast. Beyond, only coordinates, texts and offers are
+    shuffled, and the rows are joined to the pairs found.
+    """
+    wanted = ids.select("correlation_id", F.lower("correlation_id").alias("_id")).filter("_id <> ''").distinct()
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_id")), F.lit(0)).alias("chars")).first()
+    if exact:
+        filed, holds = wanted.withColumn("_filed", F.col("_id")), F.lit(True)
+    else:
+        windows = matching.anchors(wanted.select("_id").distinct(), "_id").withColumnRenamed("window", "_filed")
+        filed = staged(wanted.join(windows, "_id"), "filed-ids")
+        holds = matching.is_first("_data") & F.exists("_texts", lambda t: F.contains(t, F.col("_id")))
+
+    def offers(frame: DataFrame) -> DataFrame:
+        if exact:
+            return frame.withColumn("_offer", F.explode("_texts"))
+        data = frame.withColumn("_data", F.array_join("_texts", "\x00").cast("binary"))
+        return matching.likely_windows(data, "_data", filed.select("width", F.col("_filed").alias("window")), size.n)
+
+    sought = filed.select("_filed", "_id", "correlation_id")
     if size.n <= BROADCAST_IDS and size.chars <= BROADCAST_CHARS:
-        return records.withColumn("_text", F.explode_outer(offered)).join(F.broadcast(wanted), "_text").drop("_text")
+        return offers(rows).join(F.broadcast(sought), F.col("_offer") == F.col("_filed")).filter(holds)
     # A record stored twice, or without coordinates, is found by its place and its texts together, once per id.
-    named = records.withColumn("_texts", F.xxhash64(texts))
-    place = ["topic", "partition", "offset", "_texts"]
-    offers = named.select(*place, F.explode_outer(offered).alias("_text"))
-    pairs = offers.join(wanted, "_text").select(*[F.col(c).alias(f"_at_{c}") for c in place], "correlation_id").distinct()
-    same_place = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]
-    return named.join(pairs, same_place).select(*records.columns, "correlation_id")
-
-
-def _substrings(text: Column, lengths: list[int]) -> Column:
-    """All substrings of the text with one of the lengths."""
-    none = F.expr("cast(array() as array<string>)")
-    return F.concat(
-        none,
-        *[
-            F.when(
-                F.length(text) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))),
-            ).otherwise(none)
-            for n in sorted(lengths)
-        ],
-    )
+    place = ["topic", "partition", "offset", "_same"]
+    named = rows.withColumn("_same", F.xxhash64("_texts"))
+    met = offers(named.select(*place, "_texts")).join(sought, F.col("_offer") == F.col("_filed")).filter(holds)
+    pairs = met.select(*[F.col(c).alias(f"_at_{c}") for c in place], "correlation_id").distinct()
+    return named.join(pairs, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place])
 
 
 def trace_many(
     records: DataFrame, ids: DataFrame, exact: bool = False, bucket_ms: int | None = BUCKET_MS
 ) -> DataFrame:
     """Hops for every id of a table. ``exact=True`` requires a whole text to equal the id instead of containing it."""
-    paired = pair_with_ids(records, ids, exact)
-    return _with_latency(_as_hops(paired, F.col("correlation_id")), bucket_ms)
+    # What a hop shows is made once per record, before it is paired with several ids.
+    hops = _as_hops(records, F.lit(None).cast("string"), _lower_texts().alias("_texts")).drop("correlation_id")
+    return _with_latency(_found(_paired(hops, ids, exact).select("correlation_id", *HOP_COLUMNS), bucket_ms), bucket_ms)
 
 
 def trace_summary(hops: DataFrame) -> DataFrame:
