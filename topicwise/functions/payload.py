@@ -120,6 +120,12 @@ def _by_value(json: Column) -> Column:
     return F.array_join(F.transform(tokens, plain), "")
 
 
+def nesting_bound(json: Column | str) -> Column:
+    """At least as much as the nesting of a JSON text: its opening brackets, also those inside strings. 0 for NULL."""
+    json = _col(json)
+    return F.coalesce(F.length(json) - F.length(F.translate(json, "{[", "")), F.lit(0))
+
+
 def payload_text(payload: Column | str = "payload", value: Column | str = "value") -> Column:
     """Payload as compact JSON text; the record's text when nothing structured was decoded."""
     return F.coalesce(F.to_json(_col(payload)), _col(value))

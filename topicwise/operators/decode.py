@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from topicwise.functions.payload import framed_array, framed_value, looks_bracketed
 from topicwise.functions.text import bytes_text, header, header_map, non_empty
 from topicwise.operators.protobuf import ProtoSpec, message_json
-from topicwise.schemas import RECORD
+from topicwise.schemas import RAW, RECORD
 from topicwise.session import prepare
 
 # Format names, header names and the wire-format tag that results must carry.
@@ -130,6 +130,18 @@ def decode(
     return df.select(*raw.columns, "header_text", error, F.inline(F.array(decoded)))
 
 
+def flag(raw: DataFrame) -> DataFrame:
+    """RAW with ``timestamp_ms`` and ``is_dlq``, which need no decoding: what counts, filters or cuts by them comes before
+    :func:`to_records`, which takes the result like RAW."""
+    prepare(raw.sparkSession)
+    return raw.withColumns({"timestamp_ms": F.unix_millis("timestamp"), "is_dlq": _is_dlq(header_map("headers"))})
+
+
+def _is_dlq(headers: Column) -> Column:
+    marked = F.arrays_overlap(F.map_keys(headers), F.array(*[F.lit(n) for n in DLQ_MARKER_HEADERS]))
+    return F.contains(F.lower("topic"), F.lit("dlq")) | marked
+
+
 def to_records(
     raw: DataFrame,
     proto: ProtoSpec | None = None,
@@ -137,9 +149,8 @@ def to_records(
     extra: Sequence[Extra] = (),
 ) -> DataFrame:
     """RAW to RECORD: decode the value, turn key, value and headers into text, flag dead letters."""
-    df = decode(raw, proto, wire, extra)
+    df = decode(raw.select(*RAW.names), proto, wire, extra)
     headers = F.col("header_text")
-    marked = F.arrays_overlap(F.map_keys(headers), F.array(*[F.lit(n) for n in DLQ_MARKER_HEADERS]))
     return df.select(
         "topic",
         "partition",
@@ -155,22 +166,33 @@ def to_records(
         "is_structured",
         "schema_id",
         "decode_error",
-        (F.contains(F.lower("topic"), F.lit("dlq")) | marked).alias("is_dlq"),
+        _is_dlq(headers).alias("is_dlq"),
         F.coalesce(header(headers, *ERROR_HEADERS), F.col("decode_error")).alias("error_message"),
     ).select(*RECORD.names)
 
 
+#: Largest registry, in rows and in characters of schema text, that is sent whole to every task.
+BROADCAST_SCHEMAS = 50_000
+BROADCAST_SCHEMA_CHARS = 16_000_000
+
+
 def attach_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``schema_definition`` and ``schema_type`` (default AVRO) of each framed record.
 
-    No broadcast hint: Spark broadcasts the registry when its measured size allows it and otherwise joins by
-    shuffle, where adaptive execution splits a dominating schema id. Records without a frame get a scattered
-    negative key, as NULL keys would all meet in one task.
+    A small job measures the registry. Up to the limits above it is broadcast and the log is not shuffled. Beyond, only framed
+    records are, and adaptive execution splits a dominating schema id.
     """
     entries = schemas.select(
         F.col("schema_id").alias("_entry"),
         F.col("schema").alias("schema_definition"),
         F.coalesce("schema_type", F.lit("AVRO")).alias("schema_type"),
     )
-    keyed = records.withColumn("_entry", F.coalesce("schema_id", -F.lit(1) - F.pmod(F.col("offset"), F.lit(4096))))
-    return keyed.join(entries, "_entry", "left").drop("_entry")
+    chars = F.coalesce(F.sum(F.length("schema_definition")), F.lit(0))
+    size = entries.agg(F.count(F.lit(1)).alias("n"), chars.alias("chars")).first()
+    same = F.col("schema_id") == F.col("_entry")
+    if size.n <= BROADCAST_SCHEMAS and size.chars <= BROADCAST_SCHEMA_CHARS:
+        return records.join(F.broadcast(entries), same, "left").drop("_entry")
+    framed = records.filter("schema_id IS NOT NULL").join(entries, same, "left").drop("_entry")
+    none = F.lit(None).cast("string")
+    plain = records.filter("schema_id IS NULL").withColumns({"schema_definition": none, "schema_type": none})
+    return framed.unionByName(plain)

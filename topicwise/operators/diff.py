@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicwise.functions.payload import is_object, same_value, strict_json
+from topicwise.functions.payload import is_object, nesting_bound, same_value, strict_json
 from topicwise.functions.text import dotted
 from topicwise.session import prepare, staged
 
@@ -29,13 +29,20 @@ def _as_variant(df: DataFrame, name: str) -> Column:
 LEVELS = 4
 
 
+def _by_depth(pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that one round is sure to compare to the end, and the others: both sides have more brackets than it goes down."""
+    prepare(pairs.sparkSession)
+    sides = [F.to_json(n) if _is_variant(pairs, n) else F.col(n) for n in ("a", "b")]
+    deep = F.least(*[nesting_bound(s) for s in sides]) > levels
+    return pairs.filter(~deep), pairs.filter(deep)
+
+
 def _first_round(pairs: DataFrame, pair_id: str, levels: int) -> DataFrame:
     """Each pair with ``changes``: its differences as an array of ``(path, diff_type, old_value, new_value)``.
 
-    Both payloads sit in one row, so nothing is joined or shuffled, and the source is read once. Objects that differ below
-    ``levels`` are one entry of type ``deeper``.
+    Both payloads sit in one row, so nothing is joined or shuffled. Objects that differ below ``levels`` are one entry of type
+    ``deeper``.
     """
-    prepare(pairs.sparkSession)
     x, y = F.col("x"), F.col("y")
     same_text = F.lit(False) if _is_variant(pairs, "a") or _is_variant(pairs, "b") else F.col("a").eqNullSafe(F.col("b"))
     sides = pairs.select(
@@ -51,7 +58,11 @@ def _first_round(pairs: DataFrame, pair_id: str, levels: int) -> DataFrame:
         .when(same_value(x, y), _no_change())
         .otherwise(whole)
     )
-    return staged(sides.select(pair_id, F.monotonically_increasing_id().alias("_row"), changes.alias("changes")), "diff-round")
+    return sides.select(pair_id, changes.alias("changes"))
+
+
+def _numbered(compared: DataFrame) -> DataFrame:
+    return staged(compared.withColumn("_row", F.monotonically_increasing_id()), "diff-round")
 
 
 def _deeper(compared: DataFrame, levels: int) -> DataFrame | None:
@@ -113,10 +124,15 @@ def diff_payloads(pairs: DataFrame, pair_id: str = "pair_id", levels: int = LEVE
 
     ``a`` and ``b`` are JSON texts or VARIANT. Objects are compared member by member to any depth, ``levels`` of them in a
     round, everything else as a whole; an added or removed subtree is one row. If a root is not an object the pair is one
-    value at path ``value``.
+    value at path ``value``. Only pairs that may be nested deeper are written to the shared folder on the way.
     """
-    compared = _first_round(pairs, pair_id, levels)
-    rows = compared.select(pair_id, F.inline("changes"))
+    flat, deep = _by_depth(pairs, levels)
+    # An inner generator would make Catalyst test the array for being empty first, and so compare everything twice.
+    rows = _first_round(flat, pair_id, levels).select(pair_id, F.inline_outer("changes")).filter("diff_type IS NOT NULL")
+    if deep.isEmpty():
+        return rows
+    compared = _numbered(_first_round(deep, pair_id, levels))
+    rows = rows.unionByName(compared.select(pair_id, F.inline("changes")))
     below = _deeper(compared, levels)
     if below is not None:
         rows = rows.unionByName(below.join(compared.select("_row", pair_id), "_row").select(pair_id, F.inline("changes")))
@@ -130,14 +146,18 @@ def diff_summary(pairs: DataFrame, pair_id: str = "pair_id", levels: int = LEVEL
     def count_of(kind: str) -> Column:
         return F.size(F.filter("changes", lambda c: c["diff_type"] == kind)).cast("bigint")
 
-    compared = _first_round(pairs, pair_id, levels)
+    flat, deep = _by_depth(pairs, levels)
     counts = {kind: count_of(kind) for kind in kinds}
-    rows = compared.select(pair_id, "_row", *[c.alias(kind) for kind, c in counts.items()])
-    below = _deeper(compared, levels)
-    if below is not None:
-        more = below.groupBy("_row").agg(*[F.sum(c).alias(f"deep_{kind}") for kind, c in counts.items()])
-        rows = rows.join(more, "_row", "left")
-        rows = rows.withColumns({kind: F.col(kind) + F.coalesce(f"deep_{kind}", F.lit(0)) for kind in kinds})
+    rows = _first_round(flat, pair_id, levels).select(pair_id, *[c.alias(kind) for kind, c in counts.items()])
+    if not deep.isEmpty():
+        compared = _numbered(_first_round(deep, pair_id, levels))
+        more = compared.select(pair_id, "_row", *[c.alias(kind) for kind, c in counts.items()])
+        below = _deeper(compared, levels)
+        if below is not None:
+            added = below.groupBy("_row").agg(*[F.sum(c).alias(f"deep_{kind}") for kind, c in counts.items()])
+            more = more.join(added, "_row", "left")
+            more = more.withColumns({kind: F.col(kind) + F.coalesce(f"deep_{kind}", F.lit(0)) for kind in kinds})
+        rows = rows.unionByName(more.select(pair_id, *kinds))
     return rows.select(
         pair_id,
         *[F.col(kind).alias(f"{kind}_count") for kind in kinds],

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.functions.text import digits_or_null, exception_class, header, non_empty
+from topicwise.functions.text import bytes_text, digits_or_null, exception_class, header, non_empty
 from topicwise.operators.limits import first_in_scan
 
 
@@ -134,8 +134,12 @@ def by_category(diagnosed: DataFrame) -> DataFrame:
 def link_source(dead: DataFrame, source: DataFrame) -> DataFrame:
     """Add ``source_value`` and ``source_timestamp_ms`` of the record each diagnosed dead letter came from.
 
+    ``source`` may be RAW: neither column needs decoding.
+
     A dead letter without coordinates gets a key of its own that no record has; NULL keys would all meet in one task.
     """
+    if "timestamp_ms" not in source.columns:
+        source = source.withColumns({"timestamp_ms": F.unix_millis("timestamp"), "value": bytes_text(non_empty("value"))})
     found = source.select(
         F.col("topic").alias("_topic"),
         F.col("partition").cast("bigint").alias("_partition"),

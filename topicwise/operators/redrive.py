@@ -42,7 +42,7 @@ def with_patches(dead: DataFrame, patches: DataFrame) -> DataFrame:
 def already_sent(dead: DataFrame, ledger: DataFrame) -> DataFrame:
     """Leave out records whose coordinates a ledger of earlier redrives lists. Redriving is at-least-once without it."""
     on = list(SCAN_ORDER)
-    return dead.join(ledger.select(*on).distinct(), on, "left_anti")
+    return dead.join(ledger.select(*on), on, "left_anti")
 
 
 def plan_redrive(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.functions.payload import kind_of, payload_text
+from topicwise.functions.payload import kind_of, nesting_bound, payload_text
 from topicwise.functions.text import dotted, ellipsis, non_empty
 from topicwise.session import prepare, staged
 
@@ -103,39 +103,42 @@ LEVELS = 6
 def flatten_payload(df: DataFrame, *, keep: tuple[str, ...] = ("topic", "partition", "offset"), levels: int = LEVELS) -> DataFrame:
     """Every node below the payload root: ``path``, ``node_type`` (object, array, leaf) and the leaf's text.
 
-    Payloads may be nested to any depth. A round walks ``levels`` levels in one expression, reads its input once and
-    shuffles nothing; subtrees that go deeper are the next round's input, until none is left. Rounds are written to the
-    shared folder, as the next one has to know whether anything is left.
+    Payloads may be nested to any depth. A round walks ``levels`` levels in one expression and shuffles nothing; subtrees that
+    go deeper are the next round's input, until none is left. Payloads with no more brackets than one round walks down are
+    walked as they are read. Others are written to the shared folder between rounds, as the next one has to know whether
+    anything is left.
     """
     prepare(df.sparkSession)
     found = df.filter(F.col("payload").isNotNull()).select(*keep, F.lit("").alias("_path"), F.col("payload").alias("_tree"))
-    done = None
-    while True:
-        # An inner generator would make Catalyst test the array for being empty first, and so walk everything twice.
-        nodes = found.select(*keep, F.inline_outer(_nodes_below(F.col("_tree"), F.col("_path"), 1, levels)))
-        nodes = nodes.filter(F.col("level").isNotNull()).withColumn("_kind", kind_of("v"))
-        kind = (
-            F.when(F.startswith("_kind", F.lit("OBJECT<")), "object")
-            .when(F.startswith("_kind", F.lit("ARRAY<")), "array")
-            .otherwise("leaf")
-        )
-        deeper = (F.col("level") == levels) & (kind != "leaf") & ~F.to_json("v").isin("{}", "[]")
-        nodes = staged(
-            nodes.select(
-                *keep,
-                "path",
-                kind.alias("node_type"),
-                F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("leaf_text"),
-                F.when(deeper, F.to_json("v")).alias("_rest"),
-            ),
-            "payload-nodes",
-        )
-        rows = nodes.drop("_rest")
-        done = rows if done is None else done.unionByName(rows)
+    deep = nesting_bound(F.to_json("_tree")) > levels
+    done = _walked(found.filter(~deep), keep, levels).drop("_rest")
+    found = found.filter(deep)
+    while not found.isEmpty():
+        nodes = staged(_walked(found, keep, levels), "payload-nodes")
+        done = done.unionByName(nodes.drop("_rest"))
         rest = nodes.filter("_rest IS NOT NULL")
-        if rest.isEmpty():
-            return done
         found = rest.select(*keep, F.col("path").alias("_path"), F.parse_json("_rest").alias("_tree"))
+    return done
+
+
+def _walked(trees: DataFrame, keep: tuple[str, ...], levels: int) -> DataFrame:
+    """Nodes of ``_tree`` down to ``levels``; ``_rest`` is the JSON text of one that has more below."""
+    # An inner generator would make Catalyst test the array for being empty first, and so walk everything twice.
+    nodes = trees.select(*keep, F.inline_outer(_nodes_below(F.col("_tree"), F.col("_path"), 1, levels)))
+    nodes = nodes.filter(F.col("level").isNotNull()).withColumn("_kind", kind_of("v"))
+    kind = (
+        F.when(F.startswith("_kind", F.lit("OBJECT<")), "object")
+        .when(F.startswith("_kind", F.lit("ARRAY<")), "array")
+        .otherwise("leaf")
+    )
+    deeper = (F.col("level") == levels) & (kind != "leaf") & ~F.to_json("v").isin("{}", "[]")
+    return nodes.select(
+        *keep,
+        "path",
+        kind.alias("node_type"),
+        F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("leaf_text"),
+        F.when(deeper, F.to_json("v")).alias("_rest"),
+    )
 
 
 def _nodes_below(v: Column, path: Column, level: int, max_depth: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicwise.functions.payload import json_num, json_text, json_truthy
 from topicwise.operators import diff, dlq, filters, lag, limits, redrive, stats, trace, views
-from topicwise.operators.decode import attach_schema, decode, to_records
+from topicwise.operators.decode import attach_schema, decode, flag, to_records
 from topicwise.plans import inputs
 from topicwise.session import scratch_dir
 from topicwise.sinks import export, publish
@@ -291,22 +291,23 @@ def lag_share(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    return stats.status_counts(inputs.records(spark, sf_dir))
+    return stats.status_counts(flag(inputs.raw(spark, sf_dir)))
 
 
 @query
 def throughput_1s(spark, sf_dir):
-    return stats.throughput(inputs.records(spark, sf_dir))
+    return stats.throughput(flag(inputs.raw(spark, sf_dir)))
 
 
 @query
 def recent_events(spark, sf_dir):
-    return limits.recent(inputs.records(spark, sf_dir), 300).select(*COORDINATES, "timestamp_ms", "key")
+    newest = to_records(limits.recent(flag(inputs.raw(spark, sf_dir)), 300), wire=False)
+    return newest.select(*COORDINATES, "timestamp_ms", "key")
 
 
 @query
 def recent_dlq_diagnosed(spark, sf_dir):
-    newest = dlq.diagnose(limits.recent(inputs.records(spark, sf_dir), 100, dlq_only=True))
+    newest = dlq.diagnose(to_records(limits.recent(flag(inputs.raw(spark, sf_dir)), 100, dlq_only=True), wire=False))
     return newest.select(*COORDINATES, "failure_category", "exception_type")
 
 
@@ -335,7 +336,7 @@ def dlq_own_rules(spark, sf_dir):
 @query
 def dlq_source_link(spark, sf_dir):
     dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir))
-    return dlq.link_source(dead, inputs.records(spark, sf_dir)).select(
+    return dlq.link_source(dead, inputs.raw(spark, sf_dir)).select(
         *COORDINATES, "original_offset", "source_value", "source_timestamp_ms"
     )
 
@@ -493,7 +494,7 @@ def diff_summary(spark, sf_dir):
 def diff_dlq_source(spark, sf_dir):
     """Each dead letter against the record it came from, where that exists."""
     dead = dlq.diagnose(inputs.dead_letters(spark, sf_dir))
-    linked = dlq.link_source(dead, inputs.records(spark, sf_dir)).filter("source_value IS NOT NULL")
+    linked = dlq.link_source(dead, inputs.raw(spark, sf_dir)).filter("source_value IS NOT NULL")
     pairs = linked.select(F.col("offset").alias("pair_id"), F.col("value").alias("a"), F.col("source_value").alias("b"))
     return diff.diff_payloads(pairs).select("pair_id", "path", "diff_type")
 
@@ -578,9 +579,13 @@ def produce_template(spark, sf_dir):
 # Streams: run to the end of the present data, then compared with the batch result
 
 
-def _live(spark, sf_dir):
+def _live_raw(spark, sf_dir):
     log = inputs.prepare(spark).readStream.schema(inputs.EVENT_FIELDS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return to_records(inputs.raw_log(log), wire=False)
+    return inputs.raw_log(log)
+
+
+def _live(spark, sf_dir):
+    return to_records(_live_raw(spark, sf_dir), wire=False)
 
 
 def _appended(spark, frame: DataFrame, name: str) -> DataFrame:
@@ -603,7 +608,7 @@ def stream_alerts(spark, sf_dir):
 @query
 def stream_throughput(spark, sf_dir):
     path = scratch_dir(spark, "throughput")
-    live.keep_latest(live.live_throughput(_live(spark, sf_dir)), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    live.keep_latest(live.live_throughput(flag(_live_raw(spark, sf_dir))), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return live.latest(spark, f"{path}/rows", ["window_start_ms"])
 
 
