@@ -122,7 +122,8 @@ def _cut(rows: DataFrame, large: DataFrame, by_bucket: Sequence[str]) -> DataFra
 
 
 def running_delay(df: DataFrame, ts: str, delay: Callable[[Column, Column], Column], bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Delay to the previous row and its running total over the whole frame, as ``delay_s`` and ``at_s``.
+    """Delay to the previous row and its running total over the whole frame, as ``delay_s`` and ``at_s``, and the row's place in
+    it, from 1 without gaps, as ``sequence``.
 
     ``delay`` maps the ``(previous, current)`` time columns to seconds. Totals are summed in whole microseconds,
     so they do not depend on the order of additions.
@@ -137,20 +138,24 @@ def running_delay(df: DataFrame, ts: str, delay: Callable[[Column, Column], Colu
     rows = rows.withColumn("_delay", F.when(F.col("_nth") > 1, delay(F.col("_prev"), F.col(ts))).otherwise(0.0))
     rows = rows.withColumns({"_sum": F.sum(_micros(F.col("_delay"))).over(so_far), "_first": F.first(ts).over(so_far)})
 
-    ends = rows.filter(F.col("_next").isNull()).select(*BUCKET, "_first", F.col(ts).alias("_last"), "_sum")
+    ends = rows.filter(F.col("_next").isNull()).select(*BUCKET, "_first", F.col(ts).alias("_last"), "_sum", F.col("_nth").alias("_n"))
     ordered = Window.orderBy(*BUCKET)
     entry = ends.withColumns(
         {"_entry": F.when(F.row_number().over(ordered) > 1, delay(F.lag("_last").over(ordered), F.col("_first"))).otherwise(0.0)}
     )
     through = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     links = entry.select(
-        *BUCKET, "_entry", (F.sum(F.col("_sum") + _micros(F.col("_entry"))).over(through) - F.col("_sum")).alias("_base")
+        *BUCKET,
+        "_entry",
+        (F.sum(F.col("_sum") + _micros(F.col("_entry"))).over(through) - F.col("_sum")).alias("_base"),
+        (F.sum("_n").over(through) - F.col("_n")).alias("_n_before"),
     )
     joined = rows.join(links, list(BUCKET))
     return joined.select(
         *[joined[c] for c in columns],
         F.when(F.col("_nth") == 1, F.col("_entry")).otherwise(F.col("_delay")).alias("delay_s"),
         ((F.col("_base") + rows["_sum"]) / F.lit(1_000_000.0)).alias("at_s"),
+        (F.col("_n_before") + F.col("_nth")).cast("bigint").alias("sequence"),
     )
 
 

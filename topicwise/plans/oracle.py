@@ -579,7 +579,8 @@ ORACLE: dict[str, str] = {
     "replay_plan": _sql(
         """SELECT 'user.replay' AS topic, "partition", "offset", key, 'day.lens' AS source_file,
           CAST(3 + (exc_msg IS NOT NULL)::INT + (stack IS NOT NULL)::INT + 3 * (orig_topic IS NOT NULL)::INT AS BIGINT) AS header_count,
-          round(pause, 5) AS delay_s, round(sum(pause) OVER w, 5) AS replay_at_s, true AS published
+          round(pause, 5) AS delay_s, round(sum(pause) OVER w, 5) AS replay_at_s,
+          row_number() OVER w AS sequence, true AS published
         FROM paused WINDOW w AS (ORDER BY timestamp_ms, "offset", topic, "partition")""",
         REC,
         """paused AS (

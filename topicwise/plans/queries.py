@@ -516,6 +516,7 @@ def replay_plan(spark, sf_dir):
         F.expr("size(headers)").cast("bigint").alias("header_count"),
         F.round("delay_s", 5).alias("delay_s"),
         F.round("replay_at_s", 5).alias("replay_at_s"),
+        "sequence",
         "published",
     )
 

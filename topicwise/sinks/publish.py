@@ -81,7 +81,7 @@ def replay_plan(
     source_file: str | None = None,
     bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """A recorded session as messages to send again, with the pause before each and its time from the start.
+    """A recorded session as messages to send again, with the pause before each, its time from the start and its place (``sequence``).
 
     Order is recording time, then offset, topic, partition. A pause is the recorded one divided by ``speed``, at most five
     seconds; none before the first record, after an unknown time, or for a speed of 0 or less.
@@ -122,5 +122,6 @@ def replay_plan(
         "is_dlq",
         "delay_s",
         F.col("at_s").alias("replay_at_s"),
+        "sequence",
         F.lit(not dry_run).alias("published"),
     )
