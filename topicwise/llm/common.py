@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,37 @@ from topicwise.session import scratch_dir
 BROADCAST_ROWS = 200_000
 #: Bits of the table that holds back rows before a shuffle: 8 MB.
 BITMAP_BITS = 1 << 26
+#: Spark's option by which the shuffle files of a query go when it ends, not when the driver's memory is next tidied up.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the staged tables that are still there.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss of any executor."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss of any executor.
+
+    Nothing reads the shuffle files of the write once it has ended, so they go at once.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    table = spark.read.parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables whose results are staged themselves. Frames derived from them cannot be read any more."""
+    for table in tables:
+        if folder := _FOLDERS.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

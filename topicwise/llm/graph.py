@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.llm.common import small, stage
+from topicwise.llm.common import drop, small, stage
 
 #: Copies of a lookup row, so that the many links of one id are dealt to as many tasks.
 SALTS = 16
@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stage(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+    table = labels
     while True:
         near = lookup(links, "b", labels, "id").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         stepped = stage(
@@ -37,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         labels_now = stage(
             lookup(stepped, "label", of_label, "id").select("id", F.least("label", "jump").alias("label"), "was"), "labels"
         )
+        drop(table, stepped)
         if not labels_now.filter("label <> was").limit(1).count():
+            drop(links)
             return labels_now.select("id", F.col("label").alias("component"))
-        labels = labels_now.select("id", "label")
+        table, labels = labels_now, labels_now.select("id", "label")

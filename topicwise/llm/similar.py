@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.llm.common import stage
+from topicwise.llm.common import drop, stage
 from topicwise.llm.graph import components, lookup
 
 #: Sets of a block and their items, at most on average; two blocks are compared in one task.
@@ -42,8 +42,12 @@ def connect(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
 
     around = stage(rows.select(F.col("first").alias("hub"), "id").distinct(), "neighbourhoods")
     smallest = around.filter("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
-    labels = _merge(None, _verified(smallest, sets, sizes, percent))
-    return _merge(labels, _between_components(around, labels, sets, sizes, percent))
+    links = _verified(smallest, sets, sizes, percent)
+    labels = _merge(None, links)
+    more = _between_components(around, labels, sets, sizes, percent)
+    merged = _merge(labels, more)
+    drop(rows, sets, sizes, around, links, labels, more)
+    return merged
 
 
 def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -80,7 +84,9 @@ def _between_components(around: DataFrame, labels: DataFrame, sets: DataFrame, s
     def links(group: pd.DataFrame) -> pd.DataFrame:
         return _links_of_blocks(group[group["left"]], group[group["right"]], percent)
 
-    return stage(dealt.groupBy("h", "i", "j").applyInPandas(links, "a bigint, b bigint").distinct(), "links-verified")
+    found = stage(dealt.groupBy("h", "i", "j").applyInPandas(links, "a bigint, b bigint").distinct(), "links-verified")
+    drop(named, mixed)
+    return found
 
 
 def _links_of_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -128,7 +134,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     left = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
     common = both.select("a", "b", "na", "n", F.size(F.array_intersect("left", "right")).alias("common"))
-    return stage(common.filter(F.expr(f"100L * common >= {percent}L * (na + n - common)")).select("a", "b"), "links-verified")
+    found = stage(common.filter(F.expr(f"100L * common >= {percent}L * (na + n - common)")).select("a", "b"), "links-verified")
+    drop(near)
+    return found
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,9 +148,11 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return stage(components(links), "components")
     ends = _named(_named(links.withColumnRenamed("a", "id"), labels).select(F.col("component").alias("x"), F.col("b").alias("id")), labels)
-    joined = stage(components(ends.select(F.col("x").alias("a"), F.col("component").alias("b")).filter("a <> b")), "components-joined")
-    joined = joined.select(F.col("id").alias("old"), F.col("component").alias("new"))
+    table = stage(components(ends.select(F.col("x").alias("a"), F.col("component").alias("b")).filter("a <> b")), "components-joined")
+    joined = table.select(F.col("id").alias("old"), F.col("component").alias("new"))
     known = labels.join(joined.withColumnRenamed("old", "component"), "component", "left")
     known = known.select("id", F.coalesce("new", "component").alias("component"))
     fresh = joined.join(labels, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component"))
-    return stage(known.unionByName(fresh), "components")
+    merged = stage(known.unionByName(fresh), "components")
+    drop(table)
+    return merged
