@@ -33,8 +33,9 @@ def pieces(sequences: DataFrame) -> DataFrame:
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shards.write_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
-    return shards.read_shards(spark, path).select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shards.write_shards(docs, shards=8)
+    return shards.read_shards(spark, path, docs.schema).select(
         "record.doc_id",
         F.expr("CAST(coalesce(octet_length(record.text), 0) + 1 AS BIGINT)").alias("size"),
         F.expr("crc32(CAST(coalesce(record.text, '') AS BINARY))").alias("text_crc32"),

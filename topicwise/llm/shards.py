@@ -7,8 +7,9 @@ random order of all rows; shards are equal cuts of that order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from topicwise.session import scratch_dir
 
@@ -20,14 +21,15 @@ def write_shards(
     shards: int = 8,
     seed: int = 17,
     text_col: str = "text",
-    bucket_bytes: int = 16 << 20,
+    bucket_bytes: int = 64 << 20,
 ) -> str:
     """Write every row of ``docs`` once, as (shard, slot, record), and return the folder.
 
     ``record`` is the whole input row, so input columns may have any name. ``slot`` counts from 0 without gaps in each
-    shard, and shard sizes differ by one row at most. The hash takes the row's place in the input besides its text length,
+    shard, and shard sizes differ by one row at most. The hash takes the seed and the row's place in the input,
     so equal rows and repeated or null ids scatter like any others. Rows must come in a fixed order (a table scan); write
-    other inputs first. Null texts and empty texts are ordinary rows; an empty table gives an empty folder.
+    other inputs first. A task holds one bucket, of about ``bucket_bytes`` of text and at most about 100,000 rows. Null texts
+    and empty texts are ordinary rows; an empty table gives an empty folder.
     """
     spark = docs.sparkSession
     path = path or scratch_dir(spark, "shards")
@@ -35,14 +37,14 @@ def write_shards(
     rows = docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("place"), size.alias("bytes"))
     total = rows.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).first()
     buckets = max(4 * shards, -(-(total["bytes"] or 0) // bucket_bytes), total["rows"] // 100_000)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets)).cast("int")
     rows = rows.select("record", "place", bucket.alias("bucket"))
 
     # Offsets of the buckets in the global order: one narrow pass, one small row per bucket.
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = counts.select(F.col("bucket").alias("b"), F.expr("sum(n) OVER (ORDER BY bucket) - n").alias("base"))
     # collect_list keeps arrival order; sorting by place makes a repeated task give the same bucket.
-    whole = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("rows"))
+    whole = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("rows"))
     mixed = whole.select("bucket", F.expr(f"shuffle(transform(rows, r -> r.record), {seed})").alias("rows"))
     mixed = mixed.select("bucket", F.posexplode("rows").alias("rank", "record"))
     position = F.col("base") + F.col("rank")
@@ -56,5 +58,7 @@ def write_shards(
     return path
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str, record: StructType) -> DataFrame:
+    """(slot, record, shard) of a folder of shards; ``record`` is the schema of what was written, as an empty folder has none."""
+    schema = StructType().add("slot", LongType()).add("record", record).add("shard", IntegerType())
+    return spark.read.schema(schema).parquet(path)
