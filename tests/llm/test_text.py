@@ -76,6 +76,25 @@ def test_main_text(spark):
     assert maintext.main_text(frame(spark, [], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_attributes_are_read_as_pairs():
+    text = lambda page: [t for _, t in maintext.blocks(page)]
+    for attributes in ("title='hidden gems'", 'data-id="comments"', "data-role='search'", "alt=\"it's id=nav\"", "data-hidden", "my-style='display:none'"):
+        assert text(f"<article><p {attributes}>told</p></article>") == ["told"]
+    assert text('<p>see <a href="/x?id=nav">the page</a></p>') == ["see the page"]
+    for attributes in ("hidden", "HIDDEN=''", "class = comments", "data-x='1' id=\"comments\"", "title='a'style='display:none'"):
+        assert text(f"<article><p {attributes}>gone</p><p>told</p></article>") == ["told"]
+
+
+def test_dropped_inline_elements_do_not_end_a_block():
+    text = lambda page: [t for _, t in maintext.blocks(page)]
+    assert text("<p>One <svg>x</svg> two <button>b</button> three</p>") == ["One two three"]
+    assert text("<p>One <button><div>b</div></button> two <span class='ad'><b>c</b></span>three</p>") == ["One two three"]
+    assert text("<p>One</p><div class='share'>s<article><p>two</p></article>s</div><p>three</p>") == ["One", "two", "three"]
+    assert text("<p>One<aside><p>a</p></aside>two") == ["One", "two"]
+    assert text("<p>One<div>x</div>two</p>three") == ["One", "x", "two", "three"]
+    assert text("<article>" + "<p>long one</p>" * 20_000 + "</article>") == ["long one"] * 20_000
+
+
 def test_wrappers_named_after_parts():
     text = lambda page: [t for _, t in maintext.blocks(page)]
     for name in ("layout with-sidebar", "post comments-open share", "content has-ads", "noSidebar", "menu-open", "ad-free", "sidebar-layout"):
