@@ -6,7 +6,18 @@ from pyspark.sql import functions as F
 from topicwise.sinks import export, publish
 from topicwise.sinks import session as sessions
 from topicwise.sources.files import read_body, read_patches, read_session
-from topicwise.sources.kafka import KafkaConfig, from_topics, lookup, read_options, record_at, tail_start_offsets
+from topicwise.operators.limits import stop_after
+from topicwise.sources.kafka import (
+    KafkaConfig,
+    from_topics,
+    in_ranges,
+    lookup,
+    planned_ranges,
+    range_options,
+    read_options,
+    record_at,
+    tail_start_offsets,
+)
 
 
 def test_config(tmp_path):
@@ -35,6 +46,45 @@ def test_read_options():
     assert json.loads(read_options("a", tail_offsets=starts)["startingOffsets"]) == {"a": {"0": 5, "1": 90}}
 
 
+MARKS = [{"topic": "a", "partition": 0, "beginning_offset": 5, "log_end_offset": 8},
+         {"topic": "a", "partition": 1, "beginning_offset": 0, "log_end_offset": 100},
+         {"topic": "b", "partition": 0, "beginning_offset": 7, "log_end_offset": 7}]
+
+
+def test_planned_ranges():
+    assert planned_ranges(MARKS) == {"a": {0: (5, 8), 1: (0, 100)}}
+    assert planned_ranges(MARKS, tail=10) == {"a": {0: (5, 8), 1: (90, 100)}}
+    assert planned_ranges(MARKS, first=6, last=6) == {"a": {0: (6, 7), 1: (6, 7)}}
+    assert planned_ranges(MARKS, first=8, last=8) == {"a": {1: (8, 9)}}
+    assert planned_ranges(MARKS, first=100) == planned_ranges(MARKS, tail=0) == planned_ranges([]) == {}
+    options = range_options(planned_ranges(MARKS, last=6, tail=2), KafkaConfig("h:1"))
+    assert options["kafka.bootstrap.servers"] == "h:1" and json.loads(options["assign"]) == {"a": [0]}
+    assert json.loads(options["startingOffsets"]) == {"a": {"0": 6}} and json.loads(options["endingOffsets"]) == {"a": {"0": 7}}
+    assert not {"subscribe", "maxOffsetsPerTrigger"} & options.keys()
+    with pytest.raises(ValueError):
+        range_options({})
+
+
+def test_ranges_of_a_stored_log(spark, raw):
+    log = raw(*[(t, p, o, o, None, b"x", []) for t in "ab" for p in range(2) for o in range(12)])
+    found = {(r.topic, r.partition, r.offset) for r in in_ranges(log, planned_ranges(MARKS, last=6)).collect()}
+    assert found == {("a", 0, 5), ("a", 0, 6), *[("a", 1, o) for o in range(7)]}
+    assert in_ranges(log, {}).count() == 0
+
+
+def test_stop_after(spark, raw, monkeypatch):
+    rows = [(t, p, o, o, None, b"%d" % o, []) for t in "ab" for p in range(3) for o in range(0, 40, 2)] + [("a", 1, 6, 0, None, v, []) for v in (b"0", b"9", None)]
+    log = raw(*rows).repartition(5)
+    order = lambda r: (r[0], r[1], r[2], (r[3] is not None, r[3] or b""))
+    expected = sorted(((r[0], r[1], r[2], r[5]) for r in rows), key=order)
+    for heap in (100_000, 0):  # a top-k, block counts
+        monkeypatch.setattr("topicwise.operators.limits.HEAP_LIMIT", heap)
+        for n in (0, 1, 24, 25, 26, 27, 28, len(rows), 1000):
+            got = [(r.topic, r.partition, r.offset, None if r.value is None else bytes(r.value)) for r in stop_after(log, n).collect()]
+            assert sorted(got, key=order) == expected[:n], (heap, n)
+    assert stop_after(log.limit(0), 3).count() == 0
+
+
 def test_stored_log(spark, records):
     rows = records(*[("a" if i % 2 else "b", i % 3, i, i, None, b"x", []) for i in range(12)])
     assert from_topics(rows, "a,b").count() == 12 and from_topics(rows, "a", 1).count() == 2

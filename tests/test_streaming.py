@@ -1,3 +1,6 @@
+import json
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ def test_tail_alerts_and_capture(spark, stream, tmp_path):
     assert live.record_stream(stream(), f"{tmp_path}/s", f"{tmp_path}/cs", available_now=True) == 40
     assert read_session(spark, f"{tmp_path}/s").count() == 40
     assert live.record_stream(stream(), f"{tmp_path}/m", f"{tmp_path}/cm", max_messages=25, available_now=True) == 25
+    lines = [r.offset for r in read_session(spark, f"{tmp_path}/m").collect()]
+    assert len(lines) == 25 and live.record_stream(stream(), f"{tmp_path}/m", f"{tmp_path}/cm", max_messages=25, available_now=True) == 25
+    assert live.record_stream(stream(), f"{tmp_path}/m", f"{tmp_path}/lost", max_messages=25, available_now=True) == 25
+    assert sorted(r.offset for r in read_session(spark, f"{tmp_path}/m").collect()) == sorted(lines)
     assert live.record_stream(stream(), f"{tmp_path}/d", f"{tmp_path}/cd", duration_seconds=0.0) >= 0
 
 
@@ -71,6 +78,20 @@ def test_live_trace_summary(spark, stream, tmp_path):
     assert found == {"c0": (14, 15600.0), "c1": (13, 14400.0), "c2": (13, 14400.0)}
 
 
+def test_lag_from_progress():
+    source = {"description": "KafkaV2[Subscribe[t]]", "startOffset": {"t": {"0": 3, "1": 0}}, "endOffset": {"t": {"0": 10}}, "latestOffset": '{"t":{"0":25,"1":4,"2":2}}'}
+    progress = {"batchId": 7, "sources": [source, {"description": "FileStreamSource", "endOffset": {"logOffset": 3}, "latestOffset": None}]}
+    rows = live.progress_lag(progress, "g")
+    assert [(r["group_id"], r["partition"], r["log_end_offset"], r["current_offset"], r["lag"]) for r in rows] == [
+        ("g", 0, 25, 10, 15), ("g", 1, 4, 0, 4), ("g", 2, 2, 0, 2)]
+    assert live.progress_lag({"sources": []}) == live.progress_lag({}) == []
+    seen = []
+    listener = live.LagListener(lambda rows, number: seen.append((number, len(rows))))
+    for p in (progress, {"batchId": 8, "sources": []}):
+        listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(json=json.dumps(p))))
+    assert seen == [(7, 3)]
+
+
 def test_lag_refresh(spark, stream, tmp_path):
     def committed(session):
         return session.createDataFrame([("g", "t", 0, 30)], "group_id string, topic string, partition int, committed_offset bigint")

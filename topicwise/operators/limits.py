@@ -52,6 +52,24 @@ def first_in_scan(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*SCAN_ORDER).limit(n)
 
 
+def stop_after(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` records by topic, partition, offset, however large ``n`` is: no task holds them all.
+
+    Only the place of the n-th record is searched (see :func:`nth_position`); everything before it stays where it is. Of
+    several records stored at that place as many stay as still fit, by value. Filter before to count matches, after to count
+    what was scanned. Fewer than ``n`` records stay whole, and so does nothing for ``n`` below 1.
+    """
+    if n < 1:
+        return df.limit(0)
+    cutoff = nth_position(df, n).scalar()
+    before = df.filter(position() < cutoff)
+    # A repeated place is rare, so this window ranks few rows.
+    rank = F.row_number().over(Window.partitionBy(*SCAN_ORDER).orderBy("value"))
+    last = df.filter(position() == cutoff).withColumn("_rank", rank)
+    last = last.filter(F.col("_rank") <= n - before.agg(F.count(F.lit(1))).scalar())
+    return before.unionByName(last.drop("_rank"))
+
+
 def recent(df: DataFrame, n: int = 300, dlq_only: bool = False) -> DataFrame:
     """The ``n`` most recent records (a top-k, not a full sort)."""
     if dlq_only:

@@ -264,6 +264,17 @@ ORACLE: dict[str, str] = {
         'QUALIFY row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset" DESC) <= 1100) GROUP BY ALL',
         REC,
     ),
+    "stop_before_filter": _sql(
+        f'SELECT {COORDS} FROM (SELECT * FROM rec ORDER BY topic, "partition", "offset" LIMIT 700) WHERE is_dlq', REC
+    ),
+    "stop_after_filter": _sql(
+        f"SELECT {COORDS}, timestamp_ms FROM rec WHERE NOT is_dlq AND timestamp_ms % 3 = 0 "
+        'ORDER BY topic, "partition", "offset" LIMIT 70',
+        REC,
+    ),
+    "read_offset_range": _sql(
+        f"SELECT {COORDS}, timestamp_ms FROM rec WHERE topic = 'payment.events' AND \"offset\" BETWEEN 100 AND 900", REC
+    ),
     "read_one_partition": _sql(
         f"SELECT {COORDS}, timestamp_ms FROM rec WHERE topic = 'user.events' AND \"partition\" = 2", REC
     ),

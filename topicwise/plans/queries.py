@@ -47,6 +47,28 @@ def tail_long_per_partition(spark, sf_dir):
     )
 
 
+@query
+def stop_before_filter(spark, sf_dir):
+    """Dead letters among the first 700 records of the scan."""
+    return flag(limits.stop_after(inputs.raw(spark, sf_dir), 700)).filter("is_dlq").select(*COORDINATES)
+
+
+@query
+def stop_after_filter(spark, sf_dir):
+    """The scan ends after 70 matches."""
+    fresh = flag(inputs.raw(spark, sf_dir)).filter("NOT is_dlq AND timestamp_ms % 3 = 0")
+    return limits.stop_after(fresh, 70).select(*COORDINATES, "timestamp_ms")
+
+
+@query
+def read_offset_range(spark, sf_dir):
+    raw = inputs.raw(spark, sf_dir)
+    marks = lag.offsets(raw.filter("topic = 'payment.events'")).collect()  # one row per partition
+    return kafka.in_ranges(raw, kafka.planned_ranges(marks, first=100, last=900)).select(
+        *COORDINATES, F.unix_millis("timestamp").alias("timestamp_ms")
+    )
+
+
 @query
 def read_one_partition(spark, sf_dir):
     return kafka.from_topics(inputs.raw(spark, sf_dir), "user.events", 2).select(

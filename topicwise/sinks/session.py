@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from topicwise.operators.limits import stop_after
 from topicwise.schemas import SESSION
 
 
@@ -31,10 +32,11 @@ def session_rows(records: DataFrame, recorded_ms: Column | None = None) -> DataF
 def write_session(
     records: DataFrame, path: str, max_messages: int | None = None, recorded_ms: Column | None = None
 ) -> int:
-    """Write a session as JSON lines and return how many records it has, counted by the write itself."""
-    rows = session_rows(records, recorded_ms)
-    if max_messages is not None:
-        rows = rows.limit(max_messages)
+    """Write a session as JSON lines and return how many records it has, counted by the write itself.
+
+    ``max_messages`` keeps the first records by topic, partition, offset; every task writes its own part of them.
+    """
+    rows = session_rows(records if max_messages is None else stop_after(records, max_messages), recorded_ms)
     counted = Observation()
     rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option(
         "ignoreNullFields", "false"

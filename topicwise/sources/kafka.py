@@ -104,6 +104,55 @@ def tail_start_offsets(watermarks: Iterable[Mapping], n: int) -> dict[str, dict[
     return starts
 
 
+Ranges = dict[str, dict[int, tuple[int, int]]]
+
+
+def planned_ranges(watermarks: Iterable[Mapping], first: int | None = None, last: int | None = None, tail: int | None = None) -> Ranges:
+    """(start, end) offsets to read of each partition, ``end`` exclusive: offsets ``first`` to ``last``, or the last ``tail``.
+
+    ``watermarks`` are rows as for :func:`tail_start_offsets`. What they do not hold is left out, and with it a partition
+    that has nothing to read, so a single record is ``first = last`` on the row of its partition.
+    """
+    found: Ranges = {}
+    for row in watermarks:
+        start, end = row["beginning_offset"], row["log_end_offset"]
+        if tail is not None:
+            start = max(start, end - tail)
+        start = start if first is None else max(start, first)
+        end = end if last is None else min(end, last + 1)
+        if start < end:
+            found.setdefault(row["topic"], {})[row["partition"]] = (start, end)
+    return found
+
+
+def range_options(ranges: Ranges, config: KafkaConfig | None = None) -> dict[str, str]:
+    """Options of a batch that reads just ``ranges``; offsets that are gone meanwhile do not fail it."""
+    if not ranges:
+        raise ValueError("no partition has anything to read")
+    side = lambda i: json.dumps({t: {str(p): r[i] for p, r in parts.items()} for t, parts in ranges.items()})
+    return (config or KafkaConfig()).options() | {
+        "includeHeaders": "true",
+        "assign": json.dumps({t: sorted(parts) for t, parts in ranges.items()}),
+        "startingOffsets": side(0),
+        "endingOffsets": side(1),
+        "failOnDataLoss": "false",
+    }
+
+
+def read_ranges(spark: SparkSession, ranges: Ranges, config: KafkaConfig | None = None) -> DataFrame:
+    """RAW records of the ranges only: brokers are asked for nothing else."""
+    return spark.read.format("kafka").options(**range_options(ranges, config)).load()
+
+
+def in_ranges(log: DataFrame, ranges: Ranges) -> DataFrame:
+    """The same choice on a stored log; the filter reaches the file scan."""
+    parts = [(t, p, r) for t, found in sorted(ranges.items()) for p, r in sorted(found.items())]
+    wanted = F.lit(False)
+    for topic, partition, (start, end) in parts:
+        wanted |= (F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") >= start) & (F.col("offset") < end)
+    return log.filter(wanted)
+
+
 def read_stream(spark: SparkSession, topics: str | Iterable[str], **how) -> DataFrame:
     """Live RAW records of the topics; see :func:`read_options`."""
     return spark.readStream.format("kafka").options(**read_options(topics, **how)).load()

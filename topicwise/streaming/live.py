@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from topicwise.operators.filters import filter_events
 from topicwise.operators.lag import lag_by_partition, offsets
 from topicwise.operators.limits import recent
 from topicwise.operators.stats import throughput, with_event_time
 from topicwise.operators.views import table_view
-from topicwise.sinks.session import session_rows
+from topicwise.sinks.session import write_session
 
 
 def tail(records: DataFrame, predicate: Column | str | None = None, regex: str | None = None) -> DataFrame:
@@ -105,19 +107,18 @@ def record_stream(
 ) -> int:
     """Capture a stream as a session until it ends, ``duration_seconds`` pass or ``max_messages`` are written.
 
-    Each micro-batch has its own folder and overwrites it when repeated. Returns the number of records written.
+    Each micro-batch has its own folder and overwrites it when repeated. What an earlier run wrote to ``path`` counts, so a
+    restart goes on to the same limit. Returns the number of records in the session.
     """
-    written: dict[int, int] = {}
+    written = _written(records.sparkSession, path)
 
     def capture(batch: DataFrame, number: int) -> None:
         before = sum(n for b, n in written.items() if b != number)
         if max_messages is not None:
             if before >= max_messages:
                 return
-            batch = batch.limit(max_messages - before)
-        folder = f"{path}/batch-{number:09d}"
-        session_rows(batch).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
-        written[number] = batch.sparkSession.read.text(folder).count()
+        left = None if max_messages is None else max_messages - before
+        written[number] = write_session(batch, f"{path}/batch-{number:09d}", left)
 
     writer = records.writeStream.foreachBatch(capture).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -134,6 +135,66 @@ def record_stream(
     return sum(written.values())
 
 
+def _written(spark: SparkSession, path: str) -> dict[int, int]:
+    """Records per batch folder of a session; one row per batch."""
+    try:
+        lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    batch = F.regexp_extract(F.input_file_name(), "/batch-([0-9]+)/[^/]*$", 1)
+    return {int(r["batch"]): r["n"] for r in lines.groupBy(batch.alias("batch")).agg(F.count("*").alias("n")).collect() if r["batch"]}
+
+
+def progress_lag(progress: Mapping, group: str | None = None) -> list[dict]:
+    """Lag of each partition a Kafka stream reads, from the JSON of its progress: nothing is read from the log.
+
+    The stream's own end offsets are what its group has consumed, the latest offsets the ends of the log. A source without
+    latest offsets (not Kafka, or none known yet) gives no rows; a partition the stream has not begun counts from its start
+    offset, or from 0.
+    """
+    rows = []
+    for source in progress.get("sources") or []:
+        ends, done, begun = (_offsets_of(source.get(k)) for k in ("latestOffset", "endOffset", "startOffset"))
+        for place in sorted(ends):
+            current = done.get(place, begun.get(place, 0))
+            rows.append({
+                "group_id": group or "none", "topic": place[0], "partition": place[1], "log_end_offset": ends[place],
+                "current_offset": current, "lag": max(0, ends[place] - current),
+            })
+    return rows
+
+
+def _offsets_of(text: str | Mapping | None) -> dict[tuple[str, int], int]:
+    """Offsets by (topic, partition) of a source's offset JSON; none if it has another form."""
+    found = json.loads(text) if isinstance(text, str) and text.lstrip().startswith("{") else text
+    if not isinstance(found, Mapping) or not all(isinstance(parts, Mapping) for parts in found.values()):
+        return {}
+    return {(topic, int(p)): int(o) for topic, parts in found.items() for p, o in parts.items()}
+
+
+class LagListener(StreamingQueryListener):
+    """Calls ``write(rows, batch number)`` with :func:`progress_lag` after each micro-batch that has any."""
+
+    def __init__(self, write: Callable[[list[dict], int], None], group: str | None = None) -> None:
+        self.write, self.group = write, group
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = json.loads(event.progress.json)
+        if rows := progress_lag(progress, self.group):
+            self.write(rows, progress["batchId"])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def refresh_lag(
     records: DataFrame,
     committed: Callable[[SparkSession], DataFrame],
