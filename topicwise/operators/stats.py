@@ -29,7 +29,3 @@ def _milliseconds(width: str) -> int:
     number, unit = width.split()
     units = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
     return int(number) * units[unit.rstrip("s")]
-
-
-def with_event_time(records: DataFrame) -> DataFrame:
-    return records.withColumn("event_time", F.timestamp_millis("timestamp_ms"))

@@ -151,6 +151,11 @@ def trace_many(
     return _with_latency(_found(_paired(hops, ids, exact).select("correlation_id", *HOP_COLUMNS), bucket_ms), bucket_ms)
 
 
+TRACE_TOPICS = (
+    "correlation_id string, topic string, n bigint, first_ts bigint, last_ts bigint, first_seen decimal(38,0), has_dlq boolean"
+)
+
+
 def trace_summary(hops: DataFrame) -> DataFrame:
     """One row per trace: hop count, total latency, dead-letter flag, topics in order of first sight.
 
@@ -158,16 +163,25 @@ def trace_summary(hops: DataFrame) -> DataFrame:
     (trace, topic) before they are shuffled, so the size of a trace does not matter. The total is NULL for fewer than
     two hops, or when the first or the last time is missing or 0.
     """
+    return summary_of_topics(trace_topics(hops))
+
+
+def trace_topics(hops: DataFrame) -> DataFrame:
+    """One row per trace and topic, ``TRACE_TOPICS``. Rows of parts of a log merge: n by sum, the others by min, max or any."""
     ts = F.coalesce("timestamp_ms", F.lit(0)).cast("decimal(38,0)")
     # (time, offset) packed into one number: it sorts like the pair, and min() of a number needs no sort.
     first_seen = F.min(ts * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("offset"))
-    per_topic = hops.groupBy("correlation_id", "topic").agg(
+    return hops.groupBy("correlation_id", "topic").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.coalesce("timestamp_ms", F.lit(0))).alias("first_ts"),
         F.max(F.coalesce("timestamp_ms", F.lit(0))).alias("last_ts"),
         first_seen.alias("first_seen"),
         F.bool_or("is_dlq").alias("has_dlq"),
     )
+
+
+def summary_of_topics(per_topic: DataFrame) -> DataFrame:
+    """:func:`trace_summary` of merged :func:`trace_topics`."""
     seen = F.array_sort(F.collect_list(F.struct("first_seen", "topic")))
     totals = per_topic.groupBy("correlation_id").agg(
         F.sum("n").cast("bigint").alias("hops"),

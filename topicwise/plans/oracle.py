@@ -635,6 +635,7 @@ ORACLE |= {
     ),
     "stream_throughput": ORACLE["throughput_1s"],
     "stream_trace": ORACLE["trace_all_hops"],
+    "stream_trace_summary": ORACLE["trace_summary"],
     "stream_recent": ORACLE["recent_events"],
     "stream_session": _sql(f"SELECT {COORDS}, timestamp_ms AS timestamp, key, value, is_dlq FROM rec", REC),
     "stream_lag": ORACLE["lag_by_partition"],

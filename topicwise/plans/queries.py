@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from topicwise.functions.payload import json_num, json_text, json_truthy
 from topicwise.operators import diff, dlq, filters, lag, limits, redrive, stats, trace, views
@@ -628,17 +629,52 @@ def stream_alerts(spark, sf_dir):
     return _appended(spark, live.dlq_alerts(_live(spark, sf_dir)), "alerts").select("offset", "alert")
 
 
+def _in_parts(spark, sf_dir, name: str, parts: list[str], run: Callable[[DataFrame, str, str], StreamingQuery]) -> str:
+    """Run a stream once for each part of the events, as they are added to its folder: each run goes on from the checkpoint.
+
+    Returns the folder of the result.
+    """
+    path = scratch_dir(spark, name)
+    for wanted in parts:
+        inputs.events(spark, sf_dir).filter(wanted).write.mode("append").parquet(f"{path}/events")
+        log = inputs.raw_log(spark.readStream.schema(inputs.EVENT_FIELDS).parquet(f"{path}/events"))
+        run(log, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/rows"
+
+
+#: Parts in which traces and seconds come late and in pieces.
+LATE_PARTS = [f"event_id % 5 = {k}" for k in (3, 0, 4, 1, 2)]
+
+
 @query
 def stream_throughput(spark, sf_dir):
-    path = scratch_dir(spark, "throughput")
-    live.keep_latest(live.live_throughput(flag(_live_raw(spark, sf_dir))), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return live.latest(spark, f"{path}/rows", ["window_start_ms"])
+    def run(log, rows, checkpoint):
+        return live.keep_throughput(flag(log), rows, checkpoint, every=2)
+
+    return live.read_throughput(spark, _in_parts(spark, sf_dir, "throughput", LATE_PARTS, run))
 
 
 @query
 def stream_trace(spark, sf_dir):
-    hops = latency.live_hops(_live(spark, sf_dir), F.expr(CORRELATION))
-    return _appended(spark, hops, "trace").select("correlation_id", "step", *COORDINATES, "status", "latency_ms")
+    """Four micro-batches that follow each other in time."""
+    ends = inputs.events(spark, sf_dir).agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    cuts = [] if ends.first is None else [ends.first + (ends.last - ends.first) * k / 4 for k in (1, 2, 3)]
+    quarter = " + ".join(["0", *[f"IF(ts >= TIMESTAMP_NTZ'{c}', 1, 0)" for c in cuts]])
+    parts = [f"coalesce({quarter}, 0) = {k}" for k in range(4)]
+
+    def run(log, rows, checkpoint):
+        return latency.keep_hops(to_records(log, wire=False), F.expr(CORRELATION), rows, checkpoint, every=2)
+
+    hops = latency.read_hops(spark, _in_parts(spark, sf_dir, "trace", parts, run))
+    return hops.select("correlation_id", "step", *COORDINATES, "status", "latency_ms")
+
+
+@query
+def stream_trace_summary(spark, sf_dir):
+    def run(log, rows, checkpoint):
+        return live.keep_trace_summary(to_records(log, wire=False), F.expr(CORRELATION), rows, checkpoint, every=2)
+
+    return _summary(live.read_trace_summary(spark, _in_parts(spark, sf_dir, "trace-summary", LATE_PARTS, run)))
 
 
 @query

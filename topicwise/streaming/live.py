@@ -13,9 +13,11 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from topicwise.operators.filters import filter_events
 from topicwise.operators.lag import lag_by_partition, offsets
 from topicwise.operators.limits import recent
-from topicwise.operators.stats import throughput, with_event_time
+from topicwise.operators.stats import throughput
+from topicwise.operators.trace import TRACE_TOPICS, summary_of_topics, trace_topics
 from topicwise.operators.views import table_view
 from topicwise.sinks.session import write_session
+from topicwise.streaming.tables import MergedTable
 
 
 def tail(records: DataFrame, predicate: Column | str | None = None, regex: str | None = None) -> DataFrame:
@@ -31,38 +33,54 @@ def dlq_alerts(records: DataFrame) -> DataFrame:
     )
 
 
-def live_throughput(records: DataFrame, width: str = "1 second") -> DataFrame:
-    """Records per window of event time, for ``update`` output: a late record changes its window's row, none is lost.
+def keep_throughput(
+    records: DataFrame, path: str, checkpoint: str, width: str = "1 second", available_now: bool = True, every: int = 50
+) -> StreamingQuery:
+    """Count records per window of event time; :func:`read_throughput` reads the counters.
 
-    So there is no watermark. State is one row of two counters per window that had records.
+    A micro-batch adds its own counts. So a late record, however late, changes its window's row, and no state grows with
+    the windows seen.
     """
-    return throughput(records, width)
-
-
-def live_trace_summary(records: DataFrame, correlation_id: Column, gap: str = "10 minutes", late_by: str = "10 minutes") -> DataFrame:
-    """One row per trace once it was quiet for ``gap``: hop count, total latency, dead-letter flag."""
-    timed = with_event_time(records).withColumn("correlation_id", correlation_id).filter("correlation_id <> ''")
-    sessions = timed.withWatermark("event_time", late_by).groupBy("correlation_id", F.session_window("event_time", gap))
-    done = sessions.agg(
-        F.count(F.lit(1)).alias("hops"),
-        F.min("timestamp_ms").alias("first_ts"),
-        F.max("timestamp_ms").alias("last_ts"),
-        F.bool_or("is_dlq").alias("has_dlq"),
-    )
-    total = F.when(F.col("hops") >= 2, F.col("last_ts") - F.col("first_ts")).cast("double")
-    return done.select("correlation_id", "hops", total.alias("total_latency_ms"), "has_dlq")
+    return _keep(records, _counters(path, every), checkpoint, available_now, lambda batch: throughput(batch, width))
+
+
+def read_throughput(spark: SparkSession, path: str) -> DataFrame:
+    return _counters(path).rows(spark)
 
 
-def keep_latest(frame: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write each micro-batch of an aggregation under its own number; :func:`latest` reads the last value per key.
+def _counters(path: str, every: int = 50) -> MergedTable:
+    schema = "window_start_ms bigint, events bigint, dlq_events bigint"
+    return MergedTable(path, schema, ["window_start_ms"], {"events": F.sum, "dlq_events": F.sum}, every)
+
+
+def keep_trace_summary(
+    records: DataFrame, correlation_id: Column, path: str, checkpoint: str, available_now: bool = True, every: int = 50
+) -> StreamingQuery:
+    """Keep hop count, first and last time, topics and dead-letter flag of every trace; :func:`read_trace_summary` reads them.
 
-    A repeated batch overwrites its own folder, so the table stays right after a failure.
+    A micro-batch adds one row per trace and topic, so late hops update their trace, and a trace of any size stays spread.
     """
+    traced = records.withColumn("correlation_id", correlation_id).filter("correlation_id <> ''")
+    return _keep(traced, _trace_topics(path, every), checkpoint, available_now, trace_topics)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/batch-{number:09d}")
 
-    return frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_trace_summary(spark: SparkSession, path: str) -> DataFrame:
+    """What ``trace_summary`` gives for all records so far."""
+    return summary_of_topics(_trace_topics(path).rows(spark))
+
+
+def _trace_topics(path: str, every: int = 50) -> MergedTable:
+    merge = {"n": F.sum, "first_ts": F.min, "last_ts": F.max, "first_seen": F.min, "has_dlq": F.bool_or}
+    return MergedTable(path, TRACE_TOPICS, ["correlation_id", "topic"], merge, every)
+
+
+def _keep(
+    records: DataFrame, table: MergedTable, checkpoint: str, available_now: bool, partial: Callable[[DataFrame], DataFrame]
+) -> StreamingQuery:
+    """Add ``partial`` of each micro-batch to a table."""
+    writer = records.writeStream.foreachBatch(lambda batch, number: table.add(partial(batch), number))
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
