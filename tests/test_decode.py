@@ -1,11 +1,14 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from topicwise.operators import protobuf
 from topicwise.operators.decode import attach_schema, decode, to_records
-from topicwise.operators.protobuf import ProtoSpec, read_wire
+from topicwise.operators.protobuf import ProtoSpec
 from topicwise.operators.views import flatten_payload
+from topicwise.operators.wire import read_wire, wire_json
 from topicwise.plans.inputs import order_message
 from topicwise.schemas import RECORD, SCHEMA_ENTRY
 
@@ -152,3 +155,37 @@ def test_filters_reach_the_scan(spark, tmp_path, raw):
     log = to_records(spark.read.parquet(str(tmp_path / "log")), wire=False)
     plan = log.filter("topic = 't' AND offset > 5 AND payload_format = 'json'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(topic,t)" in plan and "GreaterThan(offset,5)" in plan
+
+
+def varint(n):
+    return bytes([*(n >> 7 * i & 0x7F | 0x80 for i in range(max(0, n.bit_length() - 1) // 7)), n >> 7 * (max(0, n.bit_length() - 1) // 7)])
+
+
+def test_wire_batch_equals_message_by_message():
+    rng = random.Random(5)
+    texts = [b"", b"plain", b'q"\\', "\u00e9\u65e5\n".encode(), b"\xff\x00", b"\x08\x01\x12\x02hi", b"x" * 300]
+
+    def field():
+        tag, kind = rng.choice([0, 1, 2, 3, 15, 16, 2**28, 2**61]), rng.choice([0, 0, 1, 2, 2, 2, 5, 3, 7] if rng.random() < 0.2 else [0, 1, 2, 2, 5])
+        start = varint(tag << 3 | kind)
+        if kind == 0:
+            return start + varint(rng.choice([0, 1, 127, 128, 2**32, 2**63, 2**64 - 1, 2**64, 2**75]))
+        text = rng.choice(texts)
+        return start + {1: bytes(8), 5: bytes(4), 2: varint(len(text)) + text}.get(kind, b"")
+
+    values = []
+    for _ in range(3000):
+        message = b"".join(field() for _ in range(rng.randint(0, 6)))
+        values.append(message[: rng.randint(0, len(message))] if rng.random() < 0.3 else message)
+    values += [bytes(rng.randrange(256) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    values += [b"\x08\x01" * 500, b"\x12" + varint(2**64 - 1) + b"rest", b"\x08" + b"\x80" * 9, b"\x08" + b"\x80" * 10, b"\x08" + b"\xff" * 12]
+    rng.shuffle(values)
+    for some in (values, values[:7], [b""], []):
+        assert wire_json(some).to_pylist() == [json.dumps(read_wire(v)) for v in some]
+
+
+def test_wire_walk_in_pieces(monkeypatch):
+    values = [b"\x08" + varint(i) for i in range(300)] + [b"\x12" + varint(90) + b"y" * 90, b""]
+    whole, errors = protobuf._without_schema(values)
+    monkeypatch.setattr(protobuf, "WALKED_BYTES", 64)
+    assert protobuf._without_schema(values)[0] == whole == [json.dumps(read_wire(v)) for v in values] and errors == [None] * 302
