@@ -233,8 +233,9 @@ items AS (
   SELECT pair_id, 'tags', 'modified', '[1,2]', '[1,3]' FROM sides WHERE pair_id % 8 = 0
 )"""
 
-PROTO_ROWS = REC.strip() + """,
+MESSAGES = """
 msg AS (SELECT *, event_id % 9 = 0 AS cut, 128 + event_id % 1000 AS seq FROM rec WHERE event_type = 'purchase')"""
+PROTO_ROWS = f"{REC.strip()},{MESSAGES}"
 
 WANTED = """
 wanted AS (SELECT DISTINCT 'ORD_' || (event_id // 5) AS wanted_id FROM events WHERE "value" > 40)"""
@@ -327,6 +328,14 @@ ORACLE: dict[str, str] = {
           CASE WHEN NOT cut THEN seq END AS tag_7 FROM msg""",
         PROTO_ROWS,
     ),
+    "decode_all_kinds": _sql(
+        """SELECT topic, "offset", format AS payload_format, format IN ('json', 'avro') AS is_structured, schema_id,
+          CAST(NULL AS VARCHAR) AS tag_1 FROM mixed
+        UNION ALL SELECT 'payment.proto', "offset", 'protobuf', true, NULL,
+          CASE WHEN cut THEN substr('evt_' || event_id, 1, 2) ELSE 'evt_' || event_id END FROM msg""",
+        MIXED,
+        MESSAGES,
+    ),
     "decode_plug_in": _sql(
         "SELECT CASE WHEN ok THEN 'json' ELSE 'repaired' END AS payload_format, count(*) AS records, count(*) AS with_order "
         "FROM log GROUP BY ok",
@@ -379,6 +388,7 @@ ORACLE: dict[str, str] = {
         f"SELECT {COORDS}, key FROM log WHERE k >= 50 AND key LIKE 'user_1%' AND topic = 'user.events'", DOC
     ),
     "filter_truthy": _sql("SELECT topic, count(*) AS records FROM log WHERE coalesce(k, 0) <> 0 GROUP BY topic", DOC),
+    "filter_value_fallback": _sql(f"SELECT {COORDS}, key, true AS undecoded FROM log WHERE total > 30", DOC),
     "filter_regex": _sql(
         f"""SELECT {COORDS}, key FROM log WHERE regexp_matches(text, 'timeout|user_7$|cust_12"', 'i')
           OR regexp_matches(key, 'timeout|user_7$|cust_12"', 'i')
@@ -495,6 +505,11 @@ ORACLE: dict[str, str] = {
         ),
         DIAGNOSED,
     ),
+    "redrive_publish": _sql(
+        f"SELECT orig_topic AS topic, key, value, CAST(1 + length({PLAIN_NAMES}) - length(replace({PLAIN_NAMES}, ',', '')) AS BIGINT) "
+        "AS header_count FROM rec WHERE is_dlq AND orig_topic IS NOT NULL",
+        REC,
+    ),
     "redrive_without_sent": _sql(f'SELECT {COORDS} FROM rec WHERE is_dlq AND "offset" % 2 <> 0', REC),
     "redrive_batch_summary": _sql(
         BATCH_TOTALS.format(
@@ -598,6 +613,13 @@ ORACLE: dict[str, str] = {
   SELECT *, coalesce(least(5.0::DOUBLE, greatest(0, timestamp_ms - lag(timestamp_ms)
     OVER (ORDER BY timestamp_ms, "offset", topic, "partition"))::DOUBLE / 1000.0 / 100.0), 0.0) AS pause FROM rec)""",
     ),
+    "publish_records": _sql(
+        """SELECT 'user.copy' AS topic, key, value,
+          CAST(1 + (exc_msg IS NOT NULL)::INT + (stack IS NOT NULL)::INT + 3 * (orig_topic IS NOT NULL)::INT AS BIGINT) AS header_count
+        FROM rec""",
+        REC,
+    ),
+    "session_stamped": _sql(f"SELECT {COORDS}, true AS stamped FROM rec", REC),
     "session_roundtrip": _sql(
         f"SELECT timestamp_ms AS time_recorded_ms, {COORDS}, timestamp_ms AS timestamp, key, value, corr AS correlation, "
         "format AS payload_format, is_dlq FROM log",
@@ -633,6 +655,7 @@ ORACLE |= {
         "FROM rec WHERE is_dlq",
         REC,
     ),
+    "redrive_patch_file": ORACLE["redrive_patched"],
     "stream_throughput": ORACLE["throughput_1s"],
     "stream_trace": ORACLE["trace_all_hops"],
     "stream_trace_summary": ORACLE["trace_summary"],

@@ -16,7 +16,7 @@ from topicwise.session import scratch_dir
 from topicwise.sinks import export, publish
 from topicwise.sinks import session as sessions
 from topicwise.sources import kafka
-from topicwise.sources.files import read_session
+from topicwise.sources.files import read_patches, read_session
 from topicwise.streaming import latency, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +177,16 @@ def decode_wire(spark, sf_dir):
     )
 
 
+@query
+def decode_all_kinds(spark, sf_dir):
+    """One log of JSON, frames, Protobuf messages, text and bytes, decoded without knowing which is which."""
+    log = inputs.raw(spark, sf_dir, mixed=True).unionByName(inputs.protobuf_log(spark, sf_dir))
+    rows = to_records(log)
+    return rows.select(
+        "topic", "offset", "payload_format", "is_structured", "schema_id", json_text("payload", "$.tag_1").alias("tag_1")
+    )
+
+
 @query
 def decode_plug_in(spark, sf_dir):
     """A decoder of one's own for the malformed values: the text before the comma, as an object."""
@@ -248,6 +258,16 @@ def filter_truthy(spark, sf_dir):
     )
 
 
+@query
+def filter_value_fallback(spark, sf_dir):
+    """Records of a session, which have a value but nothing decoded: a predicate sees the value parsed as JSON."""
+    path = scratch_dir(spark, "session")
+    sessions.write_session(inputs.records(spark, sf_dir), path)
+    rows = read_session(spark, path).withColumn("payload", F.lit(None).cast("variant"))
+    found = filters.filter_events(rows, json_num("payload", "$.total_amount") > 30)
+    return found.select(*COORDINATES, "key", F.col("payload").isNull().alias("undecoded"))
+
+
 @query
 def filter_regex(spark, sf_dir):
     hits = filters.filter_events(inputs.records(spark, sf_dir), regex="timeout|user_7$|cust_12\"")
@@ -400,6 +420,27 @@ def redrive_patched(spark, sf_dir):
     return _sent(redrive.plan_redrive(redrive.with_patches(dead, patches), target="user.events"))
 
 
+@query
+def redrive_patch_file(spark, sf_dir):
+    """Patches from a file of JSON lines, half of them objects and half of them strings."""
+    dead = inputs.dead_letters(spark, sf_dir)
+    broken = dlq.diagnose(dead).filter(filters.in_category("syntax"))
+    line = """concat('{"topic":"', topic, '","partition":', partition, ',"offset":', offset, ',"patched_payload":',
+        IF(offset % 2 = 0, concat('{"fixed":', offset, '}'), concat('"{\\\\"fixed\\\\":', offset, '}"')), '}')"""
+    path = scratch_dir(spark, "patches")
+    broken.select(F.expr(line)).write.text(path)
+    patches = read_patches(spark, path)
+    return _sent(redrive.plan_redrive(redrive.with_patches(dead, patches), target="user.events"))
+
+
+@query
+def redrive_publish(spark, sf_dir):
+    """What a redrive sends: the rows of its plan that have a target."""
+    path = scratch_dir(spark, "sent")
+    publish.publish_to_files(redrive.plan_redrive(inputs.dead_letters(spark, sf_dir)), path)
+    return _messages(spark.read.parquet(path))
+
+
 @query
 def redrive_without_sent(spark, sf_dir):
     dead = inputs.dead_letters(spark, sf_dir)
@@ -544,6 +585,33 @@ def replay_plan(spark, sf_dir):
     )
 
 
+def _messages(sent: DataFrame) -> DataFrame:
+    """Published messages as text, with the number of their headers."""
+    return sent.select(
+        "topic",
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        F.size("headers").cast("bigint").alias("header_count"),
+    )
+
+
+@query
+def publish_records(spark, sf_dir):
+    path = scratch_dir(spark, "published")
+    publish.publish_to_files(inputs.records(spark, sf_dir).withColumn("topic", F.lit("user.copy")), path)
+    return _messages(spark.read.parquet(path))
+
+
+@query
+def session_stamped(spark, sf_dir):
+    """A session recorded now: each line has the time at which it was recorded."""
+    path = scratch_dir(spark, "session")
+    begun = spark.range(1).select(sessions.now_ms()).first()[0]
+    sessions.write_session(inputs.records(spark, sf_dir), path)
+    stamped = F.col("time_recorded_ms").between(F.lit(begun), sessions.now_ms())
+    return read_session(spark, path).select(*COORDINATES, stamped.alias("stamped"))
+
+
 @query
 def session_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "session")
