@@ -177,3 +177,13 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(docs, spark.createDataFrame([(1, None), (99, 1), (None, 1)], "doc_id bigint, toxic int"))
     assert {round(r["score"]) for r in toxicity.score(docs, model).collect()} == {0}
     assert rows_of(toxicity.score(frame(spark, []), model)) == []
+
+
+def test_toxicity_sample_is_balanced_and_bounded(spark):
+    docs = frame(spark, [(i, f"text {i}") for i in range(40)] + [(None, "unnamed"), (3, None), (4, "x" * 50)])
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(40)] + [(1, 0), (8, 0), (None, 1)], "doc_id bigint, toxic int")
+    for rows, ones in ((6, 3), (20, 5), (1000, 5)):
+        found, marks = toxicity.sample(docs, labels, toxicity.Settings(sample_rows=rows, sample_chars=20), "doc_id", "text", "toxic")
+        assert sum(marks) == ones and len(found) == len(marks) == min(rows, 40)
+        assert {t for t, y in zip(found, marks) if y} <= {f"text {i}" for i in range(0, 40, 8)}
+        assert (found, marks) == toxicity.sample(docs.repartition(3), labels, toxicity.Settings(sample_rows=rows, sample_chars=20), "doc_id", "text", "toxic")

@@ -25,7 +25,8 @@ SLICE_CHARS = 1_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` labelled texts of at most ``sample_chars`` characters bound what the driver fits on.
+    """``sample_rows`` labelled texts of at most ``sample_chars`` characters bound what the driver fits on; at most half of them
+    are of class 1.
 
     A text is seen in windows of ``window`` words, half overlapping. ``gain`` multiplies the mean of a window.
     N-grams in fewer than ``least_bags`` training texts (fewer where the sample is small) are left out.
@@ -197,15 +198,22 @@ def _train(bags: list[list[str]], labels: np.ndarray, s: Settings) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """At most ``sample_rows`` labelled texts, chosen by a hash of the id. Labels other than 0 and 1 are left out."""
+    """At most ``sample_rows`` labelled texts, chosen by a hash of the id; class 1 has up to half of them, as it is the rare one.
+
+    Labels other than 0 and 1 and null ids and texts are left out.
+    """
     chosen = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
     chosen = chosen.groupBy("i").agg(F.max("y").alias("y"))  # an id labelled twice counts once, as 1 if one label says so
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     texts = texts.filter(F.col("t").isNotNull() & (F.length("t") <= s.sample_chars))
-    order = F.xxhash64(F.lit(s.seed), "i", "t")
-    # More candidates than wanted, as some have no text or too long a one; their number is bounded, so is the broadcast.
-    some = chosen.orderBy(F.xxhash64(F.lit(s.seed), "i"), "i").limit(2 * s.sample_rows)
-    rows = texts.join(F.broadcast(some), "i").orderBy(order, "t").limit(s.sample_rows).select("t", "y").collect()
+    order = F.xxhash64(F.lit(s.seed), "i", "t").alias("h")
+    rows = []
+    for label, wanted in ((1, s.sample_rows // 2), (0, s.sample_rows)):
+        wanted -= len(rows)
+        # More candidates than wanted, as some have no text or too long a one; their number is bounded, so is the broadcast.
+        some = chosen.filter(F.col("y") == label).orderBy(F.xxhash64(F.lit(s.seed), "i"), "i").limit(2 * wanted)
+        rows += texts.join(F.broadcast(some), "i").select(order, "t", "y").orderBy("h", "t").limit(wanted).collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
@@ -218,6 +226,7 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Model:
+    """A model fitted on :func:`sample`. Without both classes among the labels, or with empty tables, the score is constant."""
     return fit(*sample(docs, labels, settings, id_col, text_col, label_col), settings)
 
 
