@@ -132,3 +132,14 @@ def test_inspect(records):
     rows = records(*[dead(i, i % 2, message="m") for i in range(6)])
     assert [(r.partition, r.offset) for r in dlq.inspect(rows, 4).collect()] == [(0, 0), (0, 2), (0, 4), (1, 1)]
     assert "failure_category" not in dlq.inspect(rows, 4, rules=None).columns
+
+
+def test_small_limit_of_a_batch_is_one_scan(records):
+    letters = [dead(2, 0, "TimeoutException", payload=p) for p in (b"{}", b'{"b":1}', b'{"a":1}')]
+    batch = records(*letters, dead(1, 1, "TimeoutException"), dead(1, 0, "Boom"))
+    for limit, values in ((1, [b'{"a":1}']), (2, [b'{"a":1}', b'{"b":1}']), (4, [b'{"a":1}', b'{"b":1}', b"{}", b"{}"])):
+        plan = redrive.redrive_batch(batch, category="outage", limit=limit)[0]
+        assert [bytes(r["value"]) for r in plan.orderBy("source_partition", "value").collect()] == values
+        assert "subquery" not in plan._jdf.queryExecution().toString().lower()
+    many = redrive.redrive_batch(batch, category="outage", limit=5000)[0]
+    assert many.count() == 4

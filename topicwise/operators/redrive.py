@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicwise.functions.text import header, header_array, non_empty, with_headers
 from topicwise.operators.dlq import diagnose
 from topicwise.operators.filters import in_category, target_topic, with_parsed_value
-from topicwise.operators.limits import SCAN_ORDER, nth_position, position
+from topicwise.operators.limits import GROUP_LIMIT, SCAN_ORDER, nth_position, position
 
 # Headers taken off a redriven record, the provenance headers set on it, the error text, and the
 # name shown when no target is known.
@@ -102,11 +102,7 @@ def redrive_batch(
     wanted = flagged.filter("_matched")
     if limit:
         cutoff = nth_position(wanted, limit).scalar()
-        # Several records may be stored at the last place: only as many of them as still fit.
-        before = wanted.filter(position() < cutoff).agg(F.count(F.lit(1))).scalar()
-        rank = F.row_number().over(Window.partitionBy(*SCAN_ORDER).orderBy("value"))
-        last = wanted.filter(position() == cutoff).withColumn("_rank", rank).filter(F.col("_rank") <= limit - before)
-        wanted = wanted.filter(position() < cutoff).unionByName(last.drop("_rank"))
+        wanted = _first(wanted, limit, cutoff)
     plan = plan_redrive(wanted, target, strip, redriven_by).withColumns(
         {
             "produced_partition": F.col("source_partition") if dry_run else F.lit(None).cast("int"),
@@ -144,6 +140,20 @@ def redrive_batch(
     return plan, summary
 
 
+def _first(wanted: DataFrame, limit: int, cutoff: Column) -> DataFrame:
+    """The first ``limit`` records in scan order; of several stored at one place those of the smallest values.
+
+    A small limit is one top-k over one scan. A larger one searches ``cutoff`` first, so that no task holds all of them.
+    """
+    if limit <= GROUP_LIMIT:
+        return wanted.orderBy(*SCAN_ORDER, "value").limit(limit)
+    # Several records may be stored at the last place: only as many of them as still fit.
+    before = wanted.filter(position() < cutoff).agg(F.count(F.lit(1))).scalar()
+    rank = F.row_number().over(Window.partitionBy(*SCAN_ORDER).orderBy("value"))
+    last = wanted.filter(position() == cutoff).withColumn("_rank", rank).filter(F.col("_rank") <= limit - before)
+    return wanted.filter(position() < cutoff).unionByName(last.drop("_rank"))
+
+
 def _flag(df: DataFrame, matched: Column, predicate: Column | str | None) -> DataFrame:
     """Add ``_matched``. The predicate sees the same payload as in ``filter_events``."""
     if predicate is None:
