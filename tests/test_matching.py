@@ -24,6 +24,24 @@ def test_pairs_like_contains(spark, records, monkeypatch):
     assert trace.pair_with_ids(rows, table.limit(0)).count() == 0
 
 
+def test_few_windows_pass_with_many_ids(spark, records, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_SLOTS", matching.FEWEST_SLOTS)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh0123") for _ in range(n))
+    keys, ids = [word(40) for _ in range(100)], {word(8) for _ in range(6000)}
+    ids |= {k[5:13] for k in keys}
+    anchored = spark.createDataFrame([(8, i.encode()) for i in sorted(ids)], "width int, window binary")
+    rows = spark.createDataFrame([(k.encode(),) for k in keys], "data binary")
+    found = {(bytes(r["data"]).decode(), r["_at"]) for r in matching.likely_windows(rows, "data", anchored, len(ids)).collect()}
+    assert found >= {(k, i + 1) for k in keys for i in range(33) if k[i : i + 8] in ids}
+    assert len(found) < 0.1 * 33 * len(keys) + 100
+    monkeypatch.setattr(trace, "BROADCAST_IDS", 0)
+    table = spark.createDataFrame([(i,) for i in sorted(ids)], "correlation_id string")
+    logged = records(*[("t", 0, i // 2, i, k.encode(), b"{}", [("x-trace-id", k.encode())]) for i, k in enumerate(keys)])
+    pairs = sorted((r.correlation_id, r.offset) for r in trace.pair_with_ids(logged, table).select("correlation_id", "offset").collect())
+    assert pairs == sorted((i, n // 2) for i in ids for n, k in enumerate(keys) if i in k)
+
+
 def test_plan_does_not_grow_with_lengths(spark, records):
     rows = records(("t", 0, 1, 1, b"k", b"{}", []))
     sizes = []
