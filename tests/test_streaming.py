@@ -97,6 +97,20 @@ def test_live_hops_go_on_after_a_batch(spark, stream, tmp_path, monkeypatch):
     assert latency.read_hops(spark, f"{tmp_path}/nothing").count() == 0
 
 
+def test_live_hops_decode_a_batch_once(spark, stream, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(ms):
+        read.add(1)
+        return ms
+
+    hops = stream().withColumn("timestamp_ms", counted("timestamp_ms"))
+    latency.keep_hops(hops, trace_id(), f"{tmp_path}/h", f"{tmp_path}/c").awaitTermination()
+    assert latency.read_hops(spark, f"{tmp_path}/h").count() == read.value == 40
+    assert spark.read.parquet(f"{tmp_path}/h/arrived").count() == 20
+
+
 def _as_stream(spark, raw, path, *parts):
     """Each part as one more run of a stream on a growing folder."""
     for part in parts:

@@ -44,6 +44,9 @@ def keep_hops(
 
     def advance(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # Linking reads the hops several times: they are decoded once. The next batch takes the folder over.
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/arrived")
+        batch = spark.read.schema(batch.schema).parquet(f"{path}/arrived")
         linked = follow(batch, ["correlation_id"], "timestamp_ms", "_prev", "_nth", bucket_ms)
         ids = batch.select(F.col("correlation_id").alias("_id")).distinct()
         known = traces.rows(spark, number).join(ids, F.col("correlation_id") == F.col("_id"), "left_semi")
