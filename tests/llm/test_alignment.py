@@ -93,6 +93,14 @@ def test_parts(spark, small_buckets, local_pairs):
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in found.filter("groups <> ''").collect())
 
 
+def test_texts_are_aligned_once(spark, tmp_path):
+    """The second pass reads what the first wrote, not the texts."""
+    frame(spark, ROWS).write.parquet(str(tmp_path / "docs"))
+    found = alignment.align(spark.read.parquet(str(tmp_path / "docs")), *PATHS)
+    assert rows_of(found) == brute(ROWS)
+    assert found.inputFiles() and not any(str(tmp_path) in f for f in found.inputFiles())
+
+
 def test_nothing(spark):
     assert alignment.align(frame(spark, []), *PATHS).collect() == []
 

@@ -4,8 +4,8 @@ A text (a space put before it) is cut where both tokenizers always end a token:
 white space. These units repeat, so each worker aligns a unit once and keeps what it found (bounded). First pass: every task
 counts, per pair of ids, the documents that hold it. The distinct pairs are dealt to buckets by hash, and each bucket builds a
 minimal perfect hash: levels of bits, each pair on the first level where it has a bit for itself, its index the number of bits
-before. The tasks' counts become dense vectors under that index, summed as a tree. Second pass: documents are aligned again and
-each pair's count is looked up; the stored key at its index tells whether it is the pair asked for.
+before. The tasks' counts become dense vectors under that index, summed as a tree. Second pass: the links that the first one wrote
+down are read again and each pair's count is looked up; the stored key at its index tells whether it is the pair asked for.
 
 The pairs of highest count go to every worker, as many as ``local_pairs`` allows; those beyond are rarer than all of these, and are
 counted by a join.
@@ -46,6 +46,8 @@ BUCKET_PAIRS = 16_384
 VECTOR_ROWS = 65_536
 #: Vectors that are summed at a time.
 FAN_IN = 16
+#: Links whose counts are looked up together, or those of one text.
+LINKS = 500_000
 #: Pairs whose counts every worker holds, at about 30 bytes with the hash: 60 MB.
 LOCAL_PAIRS = 2_000_000
 
@@ -203,39 +205,58 @@ def _aligned(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], run: str
                 start, size = i + 1, 0
 
 
-def _pair_lists(found: Links) -> list[list[int]]:
-    """The linked pairs of each unit."""
-    pairs, start, out = found.pairs.tolist(), 0, []
-    for end in found.upto_link.tolist():
-        out.append(pairs[start:end])
-        start = end
-    return out
+def _parts(found: Links) -> list[tuple]:
+    """Sizes, text of the groups, and linked pairs (8 bytes each) of each unit."""
+    data, ends = found.pairs.tobytes(), (8 * found.upto_link).tolist()
+    return list(zip(found.sizes, found.groups(), (data[b:e] for b, e in zip([0, *ends[:-1]], ends))))
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
-    """(task, pair, n): documents that hold a linked pair, as far as one task counted; a pair may come again in another row."""
+def aligned_texts(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False) -> DataFrame:
+    """First pass over (text, doc_id): a row per document, ``links`` being the pairs of all its links, 8 bytes each; and rows that
+    have but (task, pair, n): documents that hold a linked pair, as far as one task counted; a pair may come again in another row."""
+    counted = [T.StructField("task", T.IntegerType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())]
+    fields = [docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in TOTALS[:4]], T.StructField("groups_sha256", T.StringType())]
+    fields += [T.StructField("groups", T.StringType()), T.StructField("row", T.StringType()), T.StructField("links", T.BinaryType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*fields, *counted]])
     run = uuid.uuid4().hex
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held: Counter = Counter()
-        task = TaskContext.get().partitionId()
+        task, done = TaskContext.get().partitionId(), 0
+        kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        id_type = pa.null()
 
         def rows() -> pa.RecordBatch:
             keys = np.fromiter(held.keys(), np.int64, len(held))
             n = np.fromiter(held.values(), np.int64, len(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), task, np.int32)), pa.array(keys), pa.array(n)], ["task", "pair", "n"])
+            columns = [pa.nulls(len(keys), kind) for kind in [id_type, *kinds[:8]]]
+            columns += [pa.array(np.full(len(keys), task, np.int32)), pa.array(keys), pa.array(n)]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
-        for _, texts in _aligned(batches, (path_a, path_b), run, _pair_lists):
-            for units in filter(None, texts):
-                held.update(set(itertools.chain.from_iterable(units)))
+        for batch, texts in _aligned(batches, (path_a, path_b), run, _parts):
+            id_type = batch.schema.field(1).type
+            totals, digests, groups, links = [], [], [], []
+            for units in texts:
+                sizes, parts, pairs = zip(*units) if units else ([(0, 0, 0)], [""], [b""])
+                text, pairs = ";".join(parts), b"".join(pairs)
+                totals.append([*map(sum, zip(*sizes)), len(pairs) // 8])
+                digests.append(hashlib.sha256(text.encode()).hexdigest() if units else "")
+                groups.append(text if with_groups else None)
+                links.append(pairs)
+                held.update(set(memoryview(pairs).cast("q")))
                 if len(held) > TASK_PAIRS:
                     yield rows()
                     held.clear()
-        yield rows()
+            names = [f"{task}-{done + i}" for i in range(len(texts))]
+            done += len(texts)
+            columns = [*zip(*totals), digests, groups, names, links, *[[None] * len(texts)] * 3]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.names)
+        if held:
+            yield rows()
 
-    return docs.select(text_col).mapInArrow(count, "task int, pair bigint, n bigint")
+    return docs.mapInArrow(first, schema)
 
 
 # Minimal perfect hash ---------------------------------------------------------------------------------------------------------
@@ -412,7 +433,8 @@ def align(
     documents like others. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    table, buckets = count_table(stage(pair_counts(docs, path_a, path_b, text_col), "pair-counts"))
+    texts = stage(aligned_texts(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), path_a, path_b, with_groups), "texts-aligned")
+    table, buckets = count_table(texts.filter("task IS NOT NULL").select("task", "pair", "n"))
     pairs = pair_rows(table)
     # One row per A id: bounded by the vocabulary.
     best = pairs.groupBy(F.shiftright("pair", 32).cast("int").alias("a")).agg(F.max("n").alias("best"))
@@ -426,7 +448,7 @@ def align(
     highest = best.collect()
     tops = np.zeros(max((r["a"] for r in highest), default=0) + 1, np.int64)
     tops[[r["a"] for r in highest]] = [r["best"] for r in highest]
-    rows = _measured(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), path_a, path_b, spark.sparkContext.broadcast((held, buckets, tops)), with_groups)
+    rows = _measured(texts.filter("task IS NULL").drop("task", "pair", "n"), spark.sparkContext.broadcast((held, buckets, tops)))
     out = ["doc_id", *TOTALS, "groups_sha256", *(["groups"] if with_groups else [])]
     if not least:
         return rows.select(*out)
@@ -440,50 +462,35 @@ def align(
     return rows.join(added, "row", "left").withColumns(more).select(*out)
 
 
-def _measured(docs: DataFrame, path_a: str, path_b: str, shared, with_groups: bool) -> DataFrame:
-    """Second pass over (text, doc_id). ``rest`` are the linked pairs of a text whose count is not at hand, ``row`` names its row."""
+def _measured(texts: DataFrame, shared) -> DataFrame:
+    """Second pass, over the rows of the first: counts of their links. ``rest`` are the linked pairs of a text whose count is not at
+    hand, ``row`` names its row."""
     rest_type = T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())]))
-    fields = [docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in TOTALS], T.StructField("groups_sha256", T.StringType())]
-    fields += [T.StructField("groups", T.StringType()), T.StructField("row", T.StringType()), T.StructField("rest", rest_type)]
-
-    run = uuid.uuid4().hex
+    added = [T.StructField(n, T.LongType()) for n in TOTALS[4:]]
+    schema = T.StructType([f for f in texts.schema if f.name != "links"] + added + [T.StructField("rest", rest_type)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         held, buckets, tops = shared.value
-        lookup, task, done = Lookup(held, buckets), TaskContext.get().partitionId(), 0
-        none = ((0,) * len(TOTALS), "", [])
-        for batch, texts in _aligned(batches, (path_a, path_b), run, lambda found: _counted(found, lookup, tops)):
-            totals, digests, groups, rests = [], [], [], []
-            for units in texts:
-                columns = list(zip(*units)) if units else [[none[i]] for i in range(3)]
-                text = ";".join(columns[1])
-                totals.append([sum(column) for column in zip(*columns[0])])
-                digests.append(hashlib.sha256(text.encode()).hexdigest() if units else "")
-                groups.append(text if with_groups else None)
-                rest = Counter(itertools.chain.from_iterable(columns[2]))
-                rests.append([{"pair": p, "times": n} for p, n in rest.items()])
-            columns = [pa.array(c, pa.int64()) for c in zip(*totals)]
-            names = [f"{task}-{done + i}" for i in range(len(texts))]
-            done += len(texts)
-            kinds = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
-            more = [pa.array(digests, pa.string()), pa.array(groups, pa.string()), pa.array(names, pa.string()), pa.array(rests, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns, *more], [f.name for f in fields])
-
-    return docs.mapInArrow(measure, T.StructType(fields))
-
-
-def _counted(found: Links, lookup: Lookup, tops: np.ndarray) -> list[tuple]:
-    """Totals, text of the groups, and links whose count is not at hand, of each unit."""
-    counts = lookup(found.pairs)
-    best = (counts == tops[found.pairs >> 32]) & (counts > 0)
-    upto = found.upto_link
-    sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[upto], prepend=0).tolist() for x in (best, counts)]
-    n_links = np.diff(upto, prepend=0).tolist()
-    rest: list = [()] * len(upto)
-    for at in np.flatnonzero(counts == 0).tolist():
-        unit = int(np.searchsorted(upto, at, side="right"))
-        rest[unit] = (*rest[unit], int(found.pairs[at]))
-    totals = [(*sizes, n, b, c) for sizes, n, b, c in zip(found.sizes, n_links, *sums)]
-    return list(zip(totals, found.groups(), rest))
+        lookup = Lookup(held, buckets)
+        kinds = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
+        for whole in batches:
+            links = np.cumsum(whole.column("n_links").to_numpy())
+            # Slices that begin with a new multiple of so many links.
+            first = np.flatnonzero(np.diff(links // LINKS, prepend=-1))
+            for start, end in zip(first.tolist(), [*first[1:].tolist(), whole.num_rows]):
+                batch = whole.slice(start, end - start)
+                pairs = np.frombuffer(b"".join(batch.column("links").to_pylist()), np.int64)
+                upto = np.cumsum(batch.column("n_links").to_numpy())
+                distinct, place = np.unique(pairs, return_inverse=True)
+                found = lookup(distinct)
+                best = (found == tops[distinct >> 32]) & (found > 0)
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x[place])])[upto], prepend=0) for x in (best, found)]
+                rests: list[list] = [[] for _ in range(len(upto))]
+                open_links = np.flatnonzero(found[place] == 0)
+                owner = np.searchsorted(upto, open_links, side="right")
+                for (row, pair), n in Counter(zip(owner.tolist(), pairs[open_links].tolist())).items():
+                    rests[row].append({"pair": pair, "times": n})
+                columns = [batch.column(c) for c in batch.schema.names if c != "links"]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sums), pa.array(rests, kinds)], schema.names)
+
+    return texts.mapInArrow(measure, schema)
