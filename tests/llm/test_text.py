@@ -129,6 +129,38 @@ def test_main_text_of_copies(spark):
     assert got[7] == got[8] == [menu, story[3], "seen", legal]
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_suffix_array(spark, partitions):
+    """Longest prefixes shared with another page of the host; what they cover is what a comparison of all places covers."""
+    rng = random.Random(3)
+    rows = [(i, i % 7, "ab"[i % 2], [[rng.randrange(1, 3) for _ in range(rng.randrange(1, 30))] for _ in range(3)]) for i in range(24)]
+    rows.append((30, 30, "c", [[1] * 20]))  # alone on its host
+    pages = spark.createDataFrame(rows, "row bigint, page bigint, host string, codes array<array<bigint>>")
+    array = maintext.suffixes(pages.repartition(partitions), run=4, depth=9)
+    found = {(r["row"], r["block"], r["at"]): r["n"] for r in maintext.repeated_prefixes(array, 4).collect()}
+    every = [(r, p, h, b, at, tuple((c if len(c) >= 4 else [*c, 0])[at:][:9])) for r, p, h, cs in rows for b, c in enumerate(cs) for at in range(max(len(c) - 3, 1))]
+    assert sorted(every) == sorted((r["row"], r["page"], r["host"], r["block"], r["at"], tuple(r["suffix"])) for r in array.collect())
+    cover, expected = {(r, b, at + k) for (r, b, at), n in found.items() for k in range(n)}, set()
+    for r, p, h, b, at, x in every:
+        longest = 0
+        for _, q, g, _, _, y in every:
+            if g == h and q != p:
+                longest = max(longest, next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))))
+        longest = longest if longest >= min(len(x), 4) else 0
+        n = max(longest - (x[-1] == 0), 0)
+        assert n >= found.get((r, b, at), 0) >= min(n, 4)  # ranges end between neighbours
+        if partitions == 1 and n:
+            assert found[r, b, at] >= 1
+        expected |= {(r, b, at + k) for k in range(n)}
+    assert cover == expected and any(n > 4 for n in found.values())
+
+
+def test_common_prefixes():
+    rows = [("a", [1, 2, 3], 1), ("a", [1, 2, 3, 4], 1), ("a", [1, 2, 3, 4, 5], 2), ("a", [1, 3], 2), ("b", [1, 3], 3), ("b", [1, 3, 7], 4)]
+    batch = maintext.pa.RecordBatch.from_pylist([{"host": h, "suffix": x, "page": p} for h, x, p in rows])
+    assert maintext.common_prefixes(batch).tolist() == [3, 4, 4, 1, 2, 2]
+
+
 @pytest.mark.parametrize("split", ["128m", "1k"])
 def test_archive(spark, tmp_path, split):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
