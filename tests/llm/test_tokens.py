@@ -46,6 +46,27 @@ def test_cache_may_overflow(library, monkeypatch):
     assert len(own.new) <= 40
 
 
+def test_known_pieces_are_looked_up_once():
+    """Of pieces that a worker knows each distinct one of a slice is looked up once, whatever its number."""
+
+    class Counted(dict):
+        reads = 0
+
+        def get(self, key, default=None):
+            self.reads += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.reads += 10
+            return super().__getitem__(key)
+
+    own = tokens.PieceEncoder(tokenizer_path())
+    first = own.encode(["one two three"])
+    own.new = Counted(own.new)
+    assert own.encode(["one two three", "one two three"]) == first * 2
+    assert own.new.reads == 3
+
+
 def test_token_files(spark, library, tmp_path):
     docs = frame(spark, texts()).repartition(3)
     path = tokenfile.write_token_files(docs, tokenizer_path(), str(tmp_path / "t"))

@@ -18,12 +18,12 @@ import pyarrow as pa
 KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 #: Characters of text encoded together.
-SLICE_CHARS = 200_000
+SLICE_CHARS = 80_000
 
 
 # The tokenizer's own splitting rule, written out for lower-case texts of Latin-1 characters.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
+PIECE = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\r{LETTERS}{NUMBERS}]+")
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]")
 WORD = re.compile(rf"[{LETTERS}]+")
 
@@ -74,11 +74,14 @@ class PieceEncoder:
         here = set().union(*filter(None, cut))
         if len(self.new) + len(here) > KEPT_PIECES:
             self.old, self.new = self.new, {}
-        self._learn(here.difference(self.new))
-        get = dict(zip(here, map(self.new.__getitem__, here))).__getitem__  # small: stays in the processor's cache
+        # Small: stays in the processor's cache.
+        known = dict(zip(here, map(self.new.get, here)))
+        unknown = {p for p, ids in known.items() if ids is None}
+        self._learn(unknown)
+        known.update(zip(unknown, map(self.new.__getitem__, unknown)))
         whole = iter(self._library([t for t, pieces in zip(texts, cut) if pieces is None]))
-        out = [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
-        for p in here:
+        out = [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for p in unknown:
             if len(p) > KEPT_LENGTH:
                 del self.new[p]
         return out
