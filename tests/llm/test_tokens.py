@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -12,6 +13,7 @@ pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
 from topicwise.llm import packing, tokenfile, tokens  # noqa: E402
+from topicwise.llm.common import TEXT_ROWS, stage  # noqa: E402
 from topicwise.llm.queries import pieces, tokenizer_path  # noqa: E402
 
 from .helpers import frame, rows_of, texts  # noqa: E402
@@ -67,6 +69,38 @@ def test_known_pieces_are_looked_up_once():
     assert own.new.reads == 3
 
 
+def test_new_pieces_skip_the_whole_pipeline(library):
+    """Pieces are cut and in lower case already: only the library's model sees them, not its normalizers and splitters."""
+    own = tokens.PieceEncoder(tokenizer_path())
+    sample = "some NEW words, 12 µß été «x» don't"
+    whole = []
+    own._library = lambda texts: whole.extend(texts) or []
+    own.tokenizer = None
+    assert np.frombuffer(own.encode([sample])[0], "<u4").tolist() == library.encode(sample, add_special_tokens=False).ids
+    assert whole == []
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A task of packing holds a few MB of texts at a time, not 10,000 of them; the session's own setting stays."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, before = {}, spark.conf.get(option)
+
+    def sizes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    def watched(df, name, *bound):
+        seen[name] = bound
+        return stage(df, name, *bound)
+
+    monkeypatch.setattr(packing, "stage", watched)
+    packing.pack(spark.range(30).selectExpr("id AS doc_id", "'some text' AS text"), tokenizer_path())
+    assert seen["tokens"] == (TEXT_ROWS,)
+    sizes = stage(spark.range(0, 2500, 1, 1).mapInArrow(sizes_of, "n long"), "sizes", TEXT_ROWS).collect()
+    assert sum(r["n"] for r in sizes) == 2500 and max(r["n"] for r in sizes) <= 1000
+    assert spark.conf.get(option) == before
+
+
 def test_token_files(spark, library, tmp_path):
     docs = frame(spark, texts()).repartition(3)
     path = tokenfile.write_token_files(docs, tokenizer_path(), str(tmp_path / "t"))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicwise.llm.common import stage
+from topicwise.llm.common import TEXT_ROWS, stage
 from topicwise.llm.tokens import encoded
 
 DOCS = "array<struct<offset:bigint,doc_id:{id},start:bigint,length:bigint,doc_tokens:bigint>>"
@@ -31,7 +31,7 @@ def pack(
     are documents like others; an empty table gives no row; other columns are ignored.
     """
     id_type = dict(docs.dtypes)[id_col]
-    tokens = stage(_encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, end_id, id_type), "tokens")
+    tokens = stage(_encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, end_id, id_type), "tokens", TEXT_ROWS)
 
     # One row per task of pass one, so the driver holds no more than it does for that job's tasks anyway.
     bases, total = {}, 0
