@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,13 @@ SLICE_CHARS = 80_000
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 PIECE = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\r{LETTERS}{NUMBERS}]+")
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]")
-WORD = re.compile(rf"[{LETTERS}]+")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, others from U+0100 on in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
 class PieceEncoder:
@@ -37,9 +44,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Pieces are cut and in lower case, so the library's model takes them as they are, in its alphabet of bytes.
+        self.model = self.tokenizer.model
+        alphabet = {i: c for c, i in byte_alphabet().items()}
+        self.shown = {i: "".join(alphabet[x] for x in chr(i).encode()) for i in range(0xA1, 0x100)}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,26 +55,16 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, encoded as one text; the last id of each word is marked as an end."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(words):
-            return self._library(words)
-        data = ids.tobytes()
-        return [data[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece."""
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: set[str]) -> None:
         """Add the ids of pieces to ``self.new``, from the old generation or from the library."""
-        words, rest = [], []
         for p in pieces:
-            if p in self.old:
-                self.new[p] = self.old[p]
-            else:
-                (words if WORD.fullmatch(p) else rest).append(p)
-        for todo, encode in ((words, self._words), (rest, self._library)):
-            for i in range(0, len(todo), 1000):
-                self.new.update(zip(todo[i : i + 1000], encode(todo[i : i + 1000])))
+            ids = self.old.get(p)
+            self.new[p] = self._piece(p) if ids is None else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
