@@ -128,3 +128,12 @@ def test_perfect_hash(keys):
     assert sorted(hashed(keys).tolist()) == list(range(len(keys)))
     other = hashed(np.array([random.getrandbits(50) for _ in range(100)], np.int64))
     assert ((other >= -1) & (other < max(len(keys), 1))).all()
+
+
+def test_links_come_back_in_small_batches(spark, monkeypatch):
+    """Both passes are written with a bound on the rows of a batch: 10,000 texts with their links would fill a task's memory."""
+    bounds, staged = {}, alignment.stage
+    monkeypatch.setattr(alignment, "stage", lambda df, name, *bound: bounds.update({name: bound}) or staged(df, name, *bound))
+    assert alignment.align(spark.createDataFrame([(1, "some text"), (2, "some other text")], "doc_id long, text string"), *PATHS).count() == 2
+    assert bounds["texts-aligned"] == bounds["aligned"] == (1000,)
+    assert alignment.KEPT_UNITS <= 100_000

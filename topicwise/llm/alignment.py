@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicwise.llm.common import stage
+from topicwise.llm.common import TEXT_ROWS, stage
+from topicwise.llm.tokens import byte_alphabet
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Units that a worker keeps, in two generations of this size; longer units are aligned each time.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 100_000
 KEPT_LENGTH = 64
 #: Pairs that a task counts before it hands them on.
 TASK_PAIRS = 500_000
@@ -174,13 +175,6 @@ class Aligner:
         return Links(list(sizes), (upto_a + upto_b).tolist(), signs, links[upto_a - 1], pairs)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, others from U+0100 on in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 @functools.cache
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
@@ -433,7 +427,7 @@ def align(
     documents like others. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = stage(aligned_texts(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), path_a, path_b, with_groups), "texts-aligned")
+    texts = stage(aligned_texts(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), path_a, path_b, with_groups), "texts-aligned", TEXT_ROWS)
     table, buckets = count_table(texts.filter("task IS NOT NULL").select("task", "pair", "n"))
     pairs = pair_rows(table)
     # One row per A id: bounded by the vocabulary.
@@ -449,10 +443,11 @@ def align(
     tops = np.zeros(max((r["a"] for r in highest), default=0) + 1, np.int64)
     tops[[r["a"] for r in highest]] = [r["best"] for r in highest]
     rows = _measured(texts.filter("task IS NULL").drop("task", "pair", "n"), spark.sparkContext.broadcast((held, buckets, tops)))
+    # Written here, not by the caller, for the size of its batches: links take more room than texts.
+    rows = stage(rows, "aligned", TEXT_ROWS)
     out = ["doc_id", *TOTALS, "groups_sha256", *(["groups"] if with_groups else [])]
     if not least:
         return rows.select(*out)
-    rows = stage(rows, "aligned")
     rare = pairs.filter(F.col("n") < least).withColumn("a", F.shiftright("pair", 32).cast("int")).join(F.broadcast(best), "a")
     open_links = rows.select("row", F.explode("rest").alias("r")).select("row", "r.pair", "r.times")
     added = open_links.join(rare, "pair").groupBy("row").agg(
