@@ -37,3 +37,15 @@ def test_nothing(spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     out = sharded(spark, str(tmp_path))
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.collect() == []
+
+
+def test_records_are_shuffled_once(spark):
+    """Whatever the size of the tables or the order in which stages end: the offsets go to the records."""
+    docs = spark.range(100).selectExpr("id AS doc_id", "'t' AS text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shards._placed(docs, 8, 17, "text", 4096)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

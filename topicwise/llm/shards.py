@@ -31,8 +31,13 @@ def write_shards(
     other inputs first. A task holds one bucket, of about ``bucket_bytes`` of text and at most about 100,000 rows. Null texts
     and empty texts are ordinary rows; an empty table gives an empty folder.
     """
-    spark = docs.sparkSession
-    path = path or scratch_dir(spark, "shards")
+    path = path or scratch_dir(docs.sparkSession, "shards")
+    _placed(docs, shards, seed, text_col, bucket_bytes).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return path
+
+
+def _placed(docs: DataFrame, shards: int, seed: int, text_col: str, bucket_bytes: int) -> DataFrame:
+    """(shard, slot, record) of every row. Only the scatter to buckets shuffles records."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("place"), size.alias("bytes"))
     total = rows.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).first()
@@ -48,14 +53,14 @@ def write_shards(
     mixed = whole.select("bucket", F.expr(f"shuffle(transform(rows, r -> r.record), {seed})").alias("rows"))
     mixed = mixed.select("bucket", F.posexplode("rows").alias("rank", "record"))
     position = F.col("base") + F.col("rank")
+    # One row per bucket: without the hint the records may be shuffled a second time before its size is known.
     placed = (
-        mixed.join(offsets, mixed["bucket"] == offsets["b"])
+        mixed.join(F.broadcast(offsets), mixed["bucket"] == offsets["b"])
         .select("record", position.alias("position"))
         .withColumn("shard", F.expr(f"position * {shards} DIV {max(total['rows'], 1)}").cast("int"))
         .withColumn("slot", F.expr(f"position - (shard * {total['rows']}L + {shards - 1}) DIV {shards}"))
     )
-    placed.select("shard", "slot", "record").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return path
+    return placed.select("shard", "slot", "record")
 
 
 def read_shards(spark: SparkSession, path: str, record: StructType) -> DataFrame:
