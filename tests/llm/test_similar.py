@@ -1,10 +1,14 @@
 """Near-duplicates of texts, paragraphs and vectors against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
 
-from topicwise.llm import lattice, minhash, paragraphs
+from topicwise.llm import lattice, minhash, paragraphs, similar as blocks
 from topicwise.llm.graph import components
 
 from .helpers import clusters, frame, texts, words
@@ -156,3 +160,64 @@ def test_recall_at_the_limit():
     a, b = own.cells(u), own.cells(v)
     met = lambda x, y: ((x[:, :, :1] == y).any(axis=(1, 2)) | (y[:, :, :1] == x).any(axis=(1, 2))).mean()
     assert met(a, b) > 0.99 and met(a, np.roll(b, 1, axis=0)) < 0.01
+
+
+def test_lines_are_hashed_together(monkeypatch):
+    """The same sets, digests and keys as line by line, without a call for each."""
+    rng = random.Random(8)
+    lines = [words(rng, n) for n in (1, 2, 4, 5, 6, 40, 3000)] + ["a b a b a b a b a b", "É ü\x0bB\t日本  x ", "X " * 30]
+    hashes = minhash.Hashes(7, 4, 23)
+    items, starts = minhash.shingles_of_lines(lines, 5)
+    sets = [minhash.shingles(line, 5) for line in lines]
+    assert [x.tolist() for x in np.split(items, starts[1:])] == [x.tolist() for x in sets]
+    assert minhash.digests(items, starts).tolist() == [list(minhash.digest(x)) for x in sets]
+    assert hashes.keys_of(items, starts).tolist() == [hashes.keys(x).ravel().tolist() for x in sets]
+
+    class Source:
+        def mapInArrow(self, run, fields):
+            return run
+
+    monkeypatch.setattr(paragraphs, "shingles", None)  # not called
+    fields = {"doc": [1, 2, 3], "text": ["\n".join(lines), None, ""], "text_hash": [7, 8, 9]}
+    batch = pa.RecordBatch.from_pydict(fields)
+    out = pa.Table.from_batches(paragraphs._lines(Source(), 5, 5, hashes, "bigint")(iter([batch]))).to_pylist()
+    assert [(r["doc"], r["length"], r["k1"]) for r in out] == [(1, len(x), minhash.digest(minhash.shingles(x, 5))[0]) for x in lines if len(x.split()) >= 5]
+
+
+def test_spans_and_powers():
+    for text in ("", " ", "a", " a  b\n\nc\r\n", "é\xa0x\x1c y\x0b日本\n𝒳 z"):
+        begins, ends, breaks = paragraphs._spans(text)
+        assert list(zip(begins, ends)) == [m.span() for m in paragraphs.WORD.finditer(text)]
+        assert breaks.tolist() == [i for i, c in enumerate(text) if c == "\n"]
+    codes = np.random.default_rng(5).integers(0, 1 << 63, paragraphs.KEPT_POWERS + 9, "uint64")
+    at = np.array([0, 5, len(codes) - 4])
+    short = [paragraphs._runs(codes[i : i + 4], np.zeros(1, "int64"), 4, paragraphs.BASES[0])[0] for i in at]
+    assert paragraphs._runs(codes, at, 4, paragraphs.BASES[0]).tolist() == short
+
+
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+def test_blocks_against_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(blocks, "FEW_PAIRS", few)
+    monkeypatch.setattr(blocks, "COLUMNS", 5)
+    monkeypatch.setattr(blocks, "PAIRS", 20)
+    rng = random.Random(9)
+    base = [rng.sample(range(1000), 12) for _ in range(6)]
+    sets = [sorted({*rng.choice(base)[: rng.randint(9, 12)], *rng.sample(range(1000), rng.randint(0, 2))}) for _ in range(60)]
+    sides = pd.DataFrame({"items": sets, "component": range(60)})
+    left, right = sides[:25], sides[20:]
+    found = blocks._links_of_blocks(left, right, 80).to_numpy().tolist()
+    linked = {(i, j) for i in range(25) for j in range(20, 60) if i != j and similar(set(sets[i]), set(sets[j]))}
+    assert linked and {tuple(x) for x in found} <= linked
+    both = lambda pairs: clusters(60, lambda i, j: (i, j) in pairs or (j, i) in pairs)
+    assert both({tuple(x) for x in found}) == both(linked)
+
+
+def test_memory_of_blocks():
+    """Items of one set alone take no column of a matrix, which had 4,096 of them for each set."""
+    rng = np.random.default_rng(0)
+    left, right = (pd.DataFrame({"items": [rng.integers(0, 1 << 40, 200) for _ in range(1000)], "component": range(1000)}) for _ in range(2))
+    tracemalloc.start()
+    assert not len(blocks._links_of_blocks(left, right, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 82 MB before
