@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         alphabet = {i: c for c, i in byte_alphabet().items()}
         self.shown = {i: "".join(alphabet[x] for x in chr(i).encode()) for i in range(0xA1, 0x100)}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -57,8 +57,8 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece."""
-        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.shown))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.shown))
+        return b"".join([self.packed[t.id] for t in found])
 
     def _learn(self, pieces: set[str]) -> None:
         """Add the ids of pieces to ``self.new``, from the old generation or from the library."""
