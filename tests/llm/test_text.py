@@ -129,6 +129,54 @@ def test_main_text_of_copies(spark):
     assert got[7] == got[8] == [menu, story[3], "seen", legal]
 
 
+def test_articles_take_part_in_the_array(spark):
+    rng = random.Random(31)
+    menu, legal, note = words(rng, 12), words(rng, 9), words(rng, 20)
+    story = [words(rng, 60) for _ in range(6)]
+    shell = lambda inside: f"<body><div>{menu}</div>{inside}<div>{legal}</div></body>"
+    rows = [(i, f"http://a.com/{i}", shell(f"<article><p>{story[i]}</p><p>{note}</p></article>")) for i in range(2)]
+    # Without an article, the only such page of its host: those of the others show its menu.
+    rows.append((2, "http://a.com/2", shell(f"<p>{story[2]}</p>")))
+    # What no other page has is content outside an article too; what an article has elsewhere is not.
+    rows.append((3, "http://a.com/3", shell(f"<p>{story[3]}</p><article>{story[4]}</article><div>{note}</div>")))
+    rows += [(4 + i, f"http://b.com/{i}", shell(f"<article>{story[5]}</article>")) for i in range(2)]  # alone but for a copy
+    rows += [(6, "http://c.com/", None), (7, "http://c.com/1", shell(f"<p>{story[0]}</p>"))]
+    got = {r["page_id"]: r["text"] for r in maintext.main_text(frame(spark, rows, "page_id bigint, url string, html string")).collect()}
+    expected = {0: f"{story[0]}\n{note}", 1: f"{story[1]}\n{note}", 2: story[2], 3: f"{story[3]}\n{story[4]}", 4: story[5], 5: story[5], 6: ""}
+    assert got == expected | {7: f"{menu}\n{story[0]}\n{legal}"}
+
+
+def test_main_text_against_all_pairs(spark):
+    """Blocks inside and outside articles, compared place by place with all other pages of the host."""
+    rng = random.Random(17)
+    common = [words(rng, rng.randrange(1, 14)).split() for _ in range(15)]
+    pages, rows = [], []
+    for i in range(60):
+        inside, found = rng.choice([(), (0,), (1, 2), (3,)]), []
+        for b in range(4):
+            found.append((b not in inside, sum([rng.choice([*common, words(rng, rng.randrange(1, 14)).split()]) for _ in range(rng.randrange(1, 4))], [])))
+        pages.append((i, "abcd"[i % 4], found))
+    for i, h, found in pages:
+        markup = "".join(f"<{(tag := 'div' if is_open else 'article')}>{' '.join(w)}</{tag}>" for is_open, w in found)
+        rows.append((i, f"http://{h}.com/{i}", markup))
+
+    def runs(w):
+        return [(at, tuple(w[at : at + 8])) for at in range(len(w) - 7)] or [(0, (*w, None))]
+
+    expected = {}
+    for i, h, found in pages:
+        others = {x for j, g, bs in pages if g == h and j != i for _, w in bs for _, x in runs(w)}
+        kept = []
+        for is_open, w in found:
+            cover = {at + k for at, x in runs(w) if x in others for k in range(min(8, len(w)))}
+            if not is_open or len(cover) < 0.5 * len(w):
+                kept.append(" ".join(w))
+        expected[i] = "\n".join(kept)
+    df = frame(spark, rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in maintext.main_text(df.repartition(3)).collect()}
+    assert got == expected and any(t.count("\n") < 3 for t in got.values())
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_suffix_array(spark, partitions):
     """Longest prefixes shared with another page of the host; what they cover is what a comparison of all places covers."""
