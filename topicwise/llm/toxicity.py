@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicwise.llm.common import give_back
+
 WORD = re.compile(r"\w+")
 #: Words whose contribution a Python worker keeps, and characters of text scored together.
 KEPT_WORDS = 500_000
@@ -227,7 +229,9 @@ def train(
     label_col: str = "toxic",
 ) -> Model:
     """A model fitted on :func:`sample`. Without both classes among the labels, or with empty tables, the score is constant."""
-    return fit(*sample(docs, labels, settings, id_col, text_col, label_col), settings)
+    model = fit(*sample(docs, labels, settings, id_col, text_col, label_col), settings)
+    give_back()  # most of what the fit took, some 130 MB
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
