@@ -230,7 +230,7 @@ def train(
 ) -> Model:
     """A model fitted on :func:`sample`. Without both classes among the labels, or with empty tables, the score is constant."""
     model = fit(*sample(docs, labels, settings, id_col, text_col, label_col), settings)
-    give_back()  # most of what the fit took, some 130 MB
+    give_back()  # most of what the fit took
     return model
 
 
